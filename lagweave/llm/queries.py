@@ -7,13 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagweave.llm import exact_dedup, quality
+from lagweave.llm import exact_dedup, license_scan, quality, url_filter
 
 
 def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet").select(*columns)
 
 
+#: Second-level names of hosts that were labelled as unwanted by hand; every other URL of the table is labelled as wanted.
+LABELLED_BAD = ("casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills")
+URL_RULES = [url_filter.UrlRule(*r) for r in (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))]
+
+
+def labelled_urls(pages: DataFrame) -> DataFrame:
+    name = F.try_element_at(F.split(url_filter.host_of(F.col("url")), r"\."), F.lit(-3))
+    return pages.select("url", F.coalesce(name.isin(*LABELLED_BAD), F.lit(False)).cast("int").alias("label"))
+
+
+def op1_url_filter(spark, sf):
+    pages = table(spark, sf, "pages", "page_id", "url")
+    model = url_filter.train(labelled_urls(pages))
+    return url_filter.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op8_license_scan(spark, sf):
+    x = license_scan.scan(table(spark, sf, "documents", "doc_id", "text"))
+    starts = F.transform("base_hits", lambda m: m["start"])
+    base = F.array_sort(F.array_distinct(F.transform("base_hits", lambda m: m["label"])))
+    return x.select(
+        "doc_id", "n_words", F.size("base_hits").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
 def op2_exact_dedup(spark, sf):
     # The digest column needs every text; the operator itself hashes only those that may have copies.
     docs = table(spark, sf, "documents", "doc_id", "text")
@@ -27,6 +53,8 @@ def op9_quality_rules(spark, sf):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_exact_dedup": op2_exact_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
 }
