@@ -15,6 +15,7 @@ from lagweave.operators import kernels as K
 from lagweave.operators.embedding import embed, sampled_library
 from lagweave.operators.neighbors import nearest, pairwise
 from lagweave.operators.simplex import lookup, weigh
+from lagweave.plans.ship import ship
 
 TRIAL = ["lib_size", "trial"]
 
@@ -81,6 +82,7 @@ def ccm_kernel(spark, lib: np.ndarray, target: np.ndarray, drawn: list[tuple[int
     tasks = spark.createDataFrame(drawn, "lib_size int, trial int, picked array<int>")
     tasks = tasks.repartition(min(len(drawn), spark.sparkContext.defaultParallelism) or 1)
 
+    ship(spark)
     def run(batches):
         x, y = shared.value
         vectors = K.delay_matrix(x, E, tau)

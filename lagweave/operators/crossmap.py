@@ -13,6 +13,7 @@ from lagweave.operators import kernels as K
 from lagweave.operators.neighbors import nearest, pack, pairwise
 from lagweave.operators.embedding import embed
 from lagweave.operators.simplex import lookup, weigh
+from lagweave.plans.ship import ship
 
 #: Target series that travel together to a kernel task.
 TARGET_BLOCK = 64
@@ -47,6 +48,7 @@ def xmap(panel: DataFrame, dims: DataFrame, tau: int = 1, Tp: int = 0, strategy:
     tasks = libs.join(blocks, ["E", "_b"]).select("lib_sid", "E", "vs", "tgts")
     tasks = tasks.repartition(panel.sparkSession.sparkContext.defaultParallelism, "lib_sid", "E")
 
+    ship(tasks.sparkSession)
     def run(batches):
         for pdf in batches:
             for sid, E, vs, tgts in pdf.itertuples(index=False):

@@ -13,6 +13,7 @@ from lagweave.functions.validate import embedding_args, require
 from lagweave.operators import kernels as K
 from lagweave.operators.neighbors import pack
 from lagweave.operators.simplex import simplex, skill
+from lagweave.plans.ship import ship
 
 
 def rho_by_dimension(panel: DataFrame, E_max: int = 20, tau: int = 1, Tp: int = 1, strategy: str = "kernel") -> DataFrame:
@@ -24,6 +25,7 @@ def rho_by_dimension(panel: DataFrame, E_max: int = 20, tau: int = 1, Tp: int =
     tasks = pack(panel).withColumn("E", F.explode(F.sequence(F.lit(1), F.lit(E_max))))
     tasks = tasks.select("sid", "E", "vs").repartition(tasks.sparkSession.sparkContext.defaultParallelism, "sid", "E")
 
+    ship(tasks.sparkSession)
     def run(batches):
         for pdf in batches:
             for sid, E, vs in pdf.itertuples(index=False):

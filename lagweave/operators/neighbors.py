@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from lagweave.functions.validate import require
 from lagweave.operators import kernels as K
 from lagweave.operators.embedding import embed
+from lagweave.plans.ship import ship
 
 FLT_MAX = K.FLT_MAX
 #: Prediction rows that one kernel task takes at a time.
@@ -61,6 +62,7 @@ def nearest_kernel(lib: DataFrame, pred: DataFrame, E: int, tau: int, Tp: int, k
     tasks = tasks.select("sid", "ls", "ps", start.alias("a")).select("sid", "ls", "a", F.slice("ps", F.col("a") + 1, F.lit(PRED_BLOCK + span)).alias("ps"))
     tasks = tasks.repartition(tasks.sparkSession.sparkContext.defaultParallelism, "sid", "a")
 
+    ship(tasks.sparkSession)
     def run(batches):
         for pdf in batches:
             for sid, ls, a, ps in pdf.itertuples(index=False):

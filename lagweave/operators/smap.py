@@ -11,6 +11,7 @@ from lagweave.functions.validate import embedding_args
 from lagweave.operators import kernels as K
 from lagweave.operators.neighbors import pack
 from lagweave.operators.simplex import with_actual
+from lagweave.plans.ship import ship
 
 #: Fits that one task makes; each needs the whole library, so a block amortises shipping it.
 FIT_BLOCK = 256
@@ -28,6 +29,7 @@ def smap(lib: DataFrame, pred: DataFrame, target: DataFrame | None = None, E: in
     tasks = tasks.withColumn("theta", F.explode(F.array(*[F.lit(x) for x in thetas])))
     tasks = tasks.select("sid", "theta", "a", "ls", "ys", "ps").repartition(tasks.sparkSession.sparkContext.defaultParallelism, "sid", "theta", "a")
 
+    ship(tasks.sparkSession)
     def run(batches):
         for pdf in batches:
             for sid, theta, a, ls, ys, ps in pdf.itertuples(index=False):
