@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagweave.llm.pretokens import Splitter, foreign_characters, read_ranks
+from lagweave.plans.ship import ship
 
 #: Characters of text whose words go to DuckDB together, and bytes of distinct words in one recursive query.
 CHUNK_CHARS = 4_000_000
@@ -185,6 +186,7 @@ def encode(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text:
     x = df.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
     kind = x.schema["_id"].dataType
 
+    ship(spark)
     def run(batches):
         key, ranks, split = shared.value
         c = coder(key, ranks)

@@ -8,4 +8,14 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
         FROM d""",
+    "op5_line_dedup": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM d),
+        b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+        w AS (SELECT doc_id, k, i AS a, lead(i, 2) OVER o AS z, line AS l1, lead(line) OVER o AS l2, lead(line, 2) OVER o AS l3 FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+        f AS (SELECT *, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, k) AS nth FROM w WHERE l3 IS NOT NULL),
+        x AS (SELECT l.doc_id, l.i, l.line, EXISTS (SELECT 1 FROM f WHERE f.doc_id = l.doc_id AND f.nth > 1 AND l.i BETWEEN f.a AND f.z) AS gone FROM l)
+        SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS text_sha256
+        FROM x GROUP BY doc_id""",
 }

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagweave.llm import exact_dedup, license_scan, quality, url_filter
+from lagweave.llm import bpe, exact_dedup, license_scan, line_dedup, mixing, quality, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
@@ -30,6 +31,27 @@ def op1_url_filter(spark, sf):
     return url_filter.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op3_mix_sources(spark, sf):
+    x = mixing.mix_counts(table(spark, sf, "documents", "doc_id", "text", "source"))
+    return x.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("copies") * F.col("_size")).alias("taken"))
+
+
+def op4_toxicity(spark, sf):
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, model)
+
+
+def op5_line_dedup(spark, sf):
+    x = line_dedup.dedup_lines(table(spark, sf, "documents", "doc_id", "text"))
+    return x.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"))
+
+
+def op7_byte_bpe(spark, sf):
+    x = bpe.encode(table(spark, sf, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return x.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_license_scan(spark, sf):
     x = license_scan.scan(table(spark, sf, "documents", "doc_id", "text"))
     starts = F.transform("base_hits", lambda m: m["start"])
@@ -52,9 +74,18 @@ def op9_quality_rules(spark, sf):
     return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_token_counts(spark, sf):
+    return token_counts.count_with_ranks(table(spark, sf, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_mix_sources": op3_mix_sources,
+    "op4_toxicity": op4_toxicity,
+    "op5_line_dedup": op5_line_dedup,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
+    "op10_token_counts": op10_token_counts,
 }

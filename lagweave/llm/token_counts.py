@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lagweave.llm.bpe import chunks, id_type
 from lagweave.llm.pretokens import Splitter, foreign_characters, read_ranks
+from lagweave.plans.ship import ship
 
 CHUNK_CHARS = 1_000_000
 #: Nodes that a worker keeps; beyond it, it starts a new trie.
@@ -91,6 +92,7 @@ def count_tokens(df: DataFrame, scores: dict[bytes, float], pattern: str, doc_id
     x = df.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
     kind = x.schema["_id"].dataType
 
+    ship(df.sparkSession)
     def run(batches):
         key, scores, split = shared.value
         for ids, texts in chunks(batches, CHUNK_CHARS):
