@@ -59,3 +59,24 @@ def maybe_repeated(df: DataFrame, key: Column, bitmap: DataFrame, flag: str, bit
     bit = F.floor(byte / F.pow(F.lit(2.0), F.col("_at") % 8)) % 2
     joined = df.withColumn("_bucket", F.bitmap_bucket_number(slot)).withColumn("_at", at).join(F.broadcast(bitmap), "_bucket", "left")
     return joined.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop("_bucket", "_at", "_bitmap")
+
+
+#: Keys of over 1/HEAVY of all weight are at most HEAVY in number, and so can be broadcast.
+HEAVY = 512
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """Left outer join on one column of which right holds each value once; weight says how many rows of left have it.
+
+    Rows of the heaviest keys meet theirs by broadcast, so that no task gets a key with a large share of all rows. right
+    should be cheap to read several times.
+    """
+    total = right.agg(F.sum(weight).alias("_all"))
+    heavy = right.join(F.broadcast(total), F.col(weight) * HEAVY > F.col("_all")).drop("_all")
+    others = [c for c in right.columns if c != key]
+    x = left.join(F.broadcast(heavy.select(key, F.lit(True).alias("_heavy"), *[F.col(c).alias(f"_h{c}") for c in others])), key, "left")
+    found = F.coalesce(F.col("_heavy"), F.lit(False))
+    a = x.where(found).withColumns({c: F.col(f"_h{c}") for c in others}).drop("_heavy", *[f"_h{c}" for c in others])
+    light = right.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    b = x.where(~found).drop("_heavy", *[f"_h{c}" for c in others]).join(light, key, "left")
+    return a.unionByName(b)

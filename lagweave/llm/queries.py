@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagweave.llm import bpe, exact_dedup, license_scan, line_dedup, mixing, quality, token_counts, toxicity, url_filter
+from lagweave.llm import bpe, exact_dedup, license_scan, line_dedup, mixing, ngram_join, quality, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op5_line_dedup(spark, sf):
     return x.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"))
 
 
+def op6_ngram_jaccard(spark, sf):
+    return ngram_join.near_duplicates(table(spark, sf, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_byte_bpe(spark, sf):
     x = bpe.encode(table(spark, sf, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return x.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
