@@ -22,8 +22,8 @@ from lagweave.plans.ship import ship
 #: Characters of text whose words go to DuckDB together, and bytes of distinct words in one recursive query.
 CHUNK_CHARS = 4_000_000
 QUERY_BYTES = 400_000
-#: Words that a worker remembers between chunks; beyond it, it starts afresh.
-REMEMBERED = 300_000
+#: Words that a worker remembers between chunks, about.
+REMEMBERED = 600_000
 
 # One step contracts the leftmost pair of least rank of each word. `live` words still have work; a word in which no
 # pair is in the merge table is given out as it is. Positions stay without gaps, so neighbours are found by a hash join.
@@ -93,39 +93,69 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({"l": l, "r": r, "rank": rank, "settled": ~np.isin(rank, unsettled)})
 
 
+class Words(dict):
+    """word -> number; a new word gets the next number and waits in `new` to be coded."""
+
+    def __init__(self, items=()):
+        super().__init__(items)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+class Ragged:
+    """Arrays of different lengths end to end, addressed by number."""
+
+    def __init__(self, dtype):
+        self.flat, self.start, self.length = np.empty(0, dtype), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def append(self, numbers: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> None:
+        more = int(numbers.max()) + 1 - len(self.start)
+        if more > 0:
+            self.start, self.length = (np.concatenate([a, np.zeros(more, np.int64)]) for a in (self.start, self.length))
+        self.start[numbers] = len(self.flat) + np.cumsum(lengths) - lengths
+        self.length[numbers] = lengths
+        self.flat = np.concatenate([self.flat, flat])
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values end to end, lengths) of the numbered arrays."""
+        lengths = self.length[numbers]
+        at = np.repeat(self.start[numbers] - (np.cumsum(lengths) - lengths), lengths)
+        at += np.arange(len(at))
+        return self.flat[at], lengths
+
+
 class Coder:
     """A DuckDB with the merge table of one vocabulary, and the words that it has coded."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
         merges = merge_table(ranks)  # noqa: F841  DuckDB reads it by its name
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         vocab = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab")
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.forget()
-
-    def forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.bytes: list[bytes] = []
+        self.words, self.ids, self.bytes, self.uses = Words(), Ragged(np.int32), Ragged(np.uint8), np.empty(0, np.int64)
 
-    def learn(self, words: list[str]) -> None:
-        """Codes words that are new, in queries of bounded size. A word longer than that makes a query of its own."""
+    def learn(self) -> None:
+        """Codes the words that wait, in queries of bounded size. A word longer than that makes a query of its own."""
         for long in (False, True):
-            self._learn_all([w for w in words if (len(w.encode("utf-8")) > LONG_BYTES) == long], ENCODE_LONG if long else ENCODE)
-
-    def _learn_all(self, words: list[str], query: str) -> None:
-        batch, size = [], 0
-        for w in words:
-            batch.append(w)
-            size += len(w)
-            if size >= QUERY_BYTES:
-                self._learn(batch, query)
-                batch, size = [], 0
-        if batch:
-            self._learn(batch, query)
+            batch, size = [], 0
+            for w in self.words.new:
+                n = len(w.encode("utf-8"))
+                if (n > LONG_BYTES) != long:
+                    continue
+                batch.append(w)
+                size += n
+                if size >= QUERY_BYTES:
+                    self._learn(batch, ENCODE_LONG if long else ENCODE)
+                    batch, size = [], 0
+            if batch:
+                self._learn(batch, ENCODE_LONG if long else ENCODE)
+        self.words.new = []
 
     def _learn(self, words: list[str], query: str) -> None:
         raw = [w.encode("utf-8") for w in words]
@@ -136,14 +166,45 @@ class Coder:
             "pos": (np.arange(lengths.sum()) - np.repeat(first, lengths)).astype(np.int32),
             "tok": self.byte[np.frombuffer(b"".join(raw), dtype=np.uint8)],
         })
-        coded = self.db.sql(query).to_arrow_table()  # noqa: F841  DECODE reads it
-        decoded = self.db.sql(DECODE).to_arrow_table()
+        coded = self.db.sql(query).to_arrow_table()  # DECODE reads it
+        decoded = [bytes.fromhex(h) for h in self.db.sql(DECODE).to_arrow_table()["hex"].to_pylist()]
         ids = coded["ids"].combine_chunks()
-        flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-        for k, (w, text) in enumerate(zip(words, decoded["hex"].to_pylist())):
-            self.code[w] = len(self.ids)
-            self.ids.append(flat[ends[k] : ends[k + 1]].astype(np.int32))
-            self.bytes.append(bytes.fromhex(text))
+        numbers = np.array([self.words[w] for w in words])
+        self.ids.append(numbers, ids.values.to_numpy(), np.diff(ids.offsets.to_numpy()))
+        self.bytes.append(numbers, np.frombuffer(b"".join(decoded), dtype=np.uint8), np.array([len(d) for d in decoded]))
+
+    def forget(self) -> None:
+        """Once too many words are remembered, the half that texts used least goes."""
+        if len(self.words) <= REMEMBERED:
+            return
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2])
+        place = np.full(len(self.words), -1)
+        place[kept] = np.arange(len(kept))
+        self.words = Words((w, int(place[n])) for w, n in self.words.items() if place[n] >= 0)
+        for name in ("ids", "bytes"):
+            old: Ragged = getattr(self, name)
+            new = Ragged(old.flat.dtype)
+            new.append(np.arange(len(kept)), *old.take(kept))
+            setattr(self, name, new)
+        self.uses = self.uses[kept] // 2
+
+    def code(self, split, texts: list[str]) -> tuple[pa.Array, pa.Array]:
+        """(ids as lists, decoded as binary) of the texts."""
+        self.forget()
+        numbers = [np.fromiter(map(self.words.__getitem__, split(t)), np.int64) for t in texts]
+        self.learn()
+        every = np.concatenate(numbers)
+        used = np.bincount(every, minlength=len(self.words))
+        used[: len(self.uses)] += self.uses
+        self.uses = used
+        ends = np.cumsum([len(n) for n in numbers])
+        out = []
+        for ragged in (self.ids, self.bytes):
+            flat, lengths = ragged.take(every)
+            total = np.concatenate([[0], np.cumsum(lengths)])
+            out.append((np.concatenate([[0], total[ends]]).astype(np.int32), flat))
+        (ids_at, ids), (bytes_at, body) = out
+        return pa.ListArray.from_arrays(pa.array(ids_at), pa.array(ids)), pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bytes_at), pa.py_buffer(np.ascontiguousarray(body))])
 
 
 _CODERS: dict[int, Coder] = {}
@@ -191,18 +252,8 @@ def encode(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text:
         key, ranks, split = shared.value
         c = coder(key, ranks)
         for ids, texts in chunks(batches, CHUNK_CHARS):
-            words = [split(t) for t in texts]
-            if len(c.code) > REMEMBERED:
-                c.forget()
-            c.learn([w for w in dict.fromkeys(w for ws in words for w in ws) if w not in c.code])
-            coded, decoded = [], []
-            for ws in words:
-                at = [c.code[w] for w in ws]
-                coded.append(np.concatenate([c.ids[k] for k in at]) if at else np.empty(0, dtype=np.int32))
-                decoded.append(b"".join([c.bytes[k] for k in at]))
-            offsets = np.concatenate([[0], np.cumsum([len(a) for a in coded])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded), pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, type=id_type(kind)), lists, pa.array(decoded, pa.binary())], names=["_id", "ids", "decoded"])
+            coded, decoded = c.code(split, texts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=id_type(kind)), coded, decoded], names=["_id", "ids", "decoded"])
 
     out = x.mapInArrow(run, f"_id {kind.simpleString()}, ids array<int>, decoded binary")
     return out.withColumnRenamed("_id", doc_id)
