@@ -18,7 +18,7 @@ from lagweave.llm.common import ensure_checkpoint_dir
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.keep(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagweave.llm.common import claim, remembers
 from lagweave.llm.pretokens import Splitter, foreign_characters, read_ranks
 from lagweave.plans.ship import ship
 
 #: Characters of text whose words go to DuckDB together, and bytes of distinct words in one recursive query.
-CHUNK_CHARS = 4_000_000
-QUERY_BYTES = 400_000
+CHUNK_CHARS = 3_000_000
+QUERY_BYTES = 300_000
 #: Words that a worker remembers between chunks, about.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 # One step contracts the leftmost pair of least rank of each word. `live` words still have work; a word in which no
 # pair is in the merge table is given out as it is. Positions stay without gaps, so neighbours are found by a hash join.
@@ -132,7 +133,7 @@ class Coder:
     """A DuckDB with the merge table of one vocabulary, and the words that it has coded."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
         merges = merge_table(ranks)  # noqa: F841  DuckDB reads it by its name
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         vocab = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]})  # noqa: F841
@@ -208,6 +209,7 @@ class Coder:
 
 
 _CODERS: dict[int, Coder] = {}
+remembers(_CODERS.clear)
 
 
 def coder(key: int, ranks: dict[bytes, int]) -> Coder:
@@ -249,6 +251,7 @@ def encode(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text:
 
     ship(spark)
     def run(batches):
+        claim("bpe")
         key, ranks, split = shared.value
         c = coder(key, ranks)
         for ids, texts in chunks(batches, CHUNK_CHARS):

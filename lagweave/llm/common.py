@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_CACHES: list = []
+_OWNER: list[str] = [""]
+
+
+def remembers(clear) -> None:
+    """Registers how to drop what an operator's module keeps in a worker process."""
+    _CACHES.append(clear)
+
+
+def claim(owner: str) -> None:
+    """Called in a worker when an operator starts: what other operators have left there is dropped, as workers are reused."""
+    if _OWNER[0] != owner:
+        _OWNER[0] = owner
+        for clear in _CACHES:
+            clear()
+        gc.collect()
+
+
 def words_of(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ as an array, empty for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
@@ -40,6 +59,15 @@ def ascii_lower(text: Column) -> Column:
     return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("\ue000")), F.lit("\u0130"), F.lit("\ue000")))
 
 
+def where_computed(df: DataFrame, flag: str) -> DataFrame:
+    """Rows whose column flag is true, where flag ends a long chain of expressions.
+
+    The optimizer would put the chain in place of the flag, with every shared step written out again, which takes it
+    exponentially long; it does not move a condition below a column that depends on a row's place.
+    """
+    return df.withColumn("_at", F.monotonically_increasing_id()).where(F.col(flag) & (F.col("_at") >= 0)).drop("_at")
+
+
 # Bitmaps of repeated keys. A bitmap of 2**bits bits is at most that many bits in size whatever the input, so it
 # can be broadcast; a key that is not in it is certainly not repeated, one that is may be a chance collision.
 BITMAP_BITS = 24

@@ -7,10 +7,10 @@ shingles; so of the non-empty parts of either sketch all but d agree, and any d
 order common to all, hold one that agrees (pigeonhole). These parts are the join keys. Sketches are made per size band,
 with more parts for larger sets; a set that may have a partner in the next band is sketched for both.
 
-Sets that share a key are compared by a parity sketch of SKETCH_BITS bits, whose Hamming distance is a lower bound of
-the symmetric difference, and then exactly. What comes of it are the components of the links, not all pairs: within a
-list of sets that share a key a spanning forest of the plausible links is verified first, and only where that leaves
-several components are the other plausible pairs between them verified as well. So no link is lost that would join
+Sets that share a key are compared by parity sketches of about as many bits as they have shingles, whose Hamming
+distance is a lower bound of the symmetric difference, and then exactly. What comes of it are the components of the links, not all pairs: within a
+list of sets that share a key a spanning forest of the plausible links is verified as far as it joins components, and
+only where a refused pair leaves a list in several components are the other plausible pairs between them verified too. So no link is lost that would join
 two components.
 
 Sets and shingles are told apart by 64-bit hashes. That d + 1 non-empty parts exist fails with a chance of less than
@@ -28,17 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagweave.llm.bpe import id_type
-from lagweave.llm.common import cut, maybe_repeated, repeated_bitmap, spread_join
+from lagweave.llm.common import claim, cut, maybe_repeated, remembers, repeated_bitmap, spread_join
 from lagweave.plans.ship import ship
 
 SHINGLE = 5
 #: Largest set size of each band. In the first one every shingle is a part of its own.
 FIRST_BAND, BAND_RATIO = 64, 16
+#: Bits of the smallest sketch.
 SKETCH_BITS = 1024
 #: Sets of one list that are compared in one task; longer lists are compared block against block.
 LIST_BLOCK = 16_384
 #: Words whose hash a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 # Odd multipliers of the shingle hash, and of the public splitmix64 finaliser.
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -60,6 +61,7 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+remembers(_HASHES.clear)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -73,8 +75,10 @@ def shingles(text: str | None) -> np.ndarray:
     m = n - SHINGLE + 1
     h = w[:m] * _M[0]
     for k in range(1, SHINGLE):
-        h = mix(h) + w[k : k + m] * _M[k]
-    return np.unique(mix(h))
+        h += w[k : k + m] * _M[k]
+    h = mix(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def set_id(s: np.ndarray) -> int:
@@ -82,7 +86,9 @@ def set_id(s: np.ndarray) -> int:
 
 
 def parity(s: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+    """The least power of two of bits that is at least the set's size. Folding a sketch in two gives the next smaller one."""
+    bits = max(SKETCH_BITS, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
 def band_of(n: int) -> int:
@@ -127,6 +133,7 @@ def set_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     ship(df.sparkSession)
 
     def run(batches):
+        claim("shingles")
         for b in batches:
             sets = (shingles(t.as_py()) for t in b.column(1))
             rows = [(len(s), set_id(s), parity(s)) if len(s) else (0, 0, b"") for s in sets]
@@ -141,6 +148,7 @@ def key_table(df: DataFrame, text: str = "text") -> DataFrame:
     ship(df.sparkSession)
 
     def run(batches):
+        claim("shingles")
         seen: set[int] = set()
         for b in batches:
             found, owner, size = [], [], 0
@@ -278,22 +286,43 @@ def _lists(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["gid", "piece", "sids"])
 
 
-def plausible(n: np.ndarray, bits: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
-    """Of the rows js those that may be linked to row i, by size and by the lower bound of the symmetric difference."""
-    small, large = np.minimum(n[js], n[i]), np.maximum(n[js], n[i])
-    js = js[100 * small >= 75 * large]
-    apart = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1, dtype=np.int64)
-    return js[7 * apart <= n[js] + n[i]]
-
-
-def forest(n: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
+class Sketches:
+    """The sizes and sketches of a list's sets. Sets that may be linked have sketches of equal size or of twice the size."""
+
+    def __init__(self, n: np.ndarray, blobs: list[bytes]):
+        self.n = n
+        self.words = np.array([len(b) // 8 for b in blobs])
+        self.row = {}
+        self.bits = {}
+        for w in np.unique(self.words):
+            same, twice = (np.flatnonzero(self.words == k * w) for k in (1, 2))
+            a, b = (np.frombuffer(b"".join([blobs[i] for i in own]), dtype=np.uint64).reshape(len(own), -1) if len(own) else np.empty((0, k * w), dtype=np.uint64) for own, k in ((same, 1), (twice, 2)))
+            self.bits[w] = np.concatenate([a, b[:, :w] ^ b[:, w:]])
+            self.row[w] = np.full(len(n), -1)
+            self.row[w][np.concatenate([same, twice])] = np.arange(len(same) + len(twice))
+
+    def plausible(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Of the rows js those that may be linked to row i, by size and by the lower bound of the symmetric difference."""
+        n = self.n
+        js = js[100 * np.minimum(n[js], n[i]) >= 75 * np.maximum(n[js], n[i])]
+        out = []
+        least = np.minimum(self.words[js], self.words[i])
+        for w in np.unique(least):
+            own = js[least == w]
+            bits, row = self.bits[w], self.row[w]
+            apart = np.bitwise_count(bits[row[own]] ^ bits[row[i]]).sum(axis=1, dtype=np.int64)
+            out.append(own[7 * apart <= n[own] + n[i]])
+        return np.concatenate(out) if out else js
+
+
+def forest(x: Sketches) -> list[tuple[int, int]]:
     """A spanning forest of the graph of plausible links."""
-    left, out = np.arange(len(n)), []
+    left, out = np.arange(len(x.n)), []
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             i = queue.pop()
-            hit = plausible(n, bits, i, left)
+            hit = x.plausible(i, left)
             if len(hit):
                 out += [(i, int(j)) for j in hit]
                 queue += hit.tolist()
@@ -301,9 +330,10 @@ def forest(n: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def all_plausible(n: np.ndarray, bits: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+def all_plausible(x: Sketches, comp: np.ndarray) -> list[tuple[int, int]]:
     """All plausible links between different components."""
-    return [(i, int(j)) for i in range(len(n)) for j in plausible(n, bits, i, np.flatnonzero((comp != comp[i]) & (np.arange(len(n)) > i)))]
+    rows = np.arange(len(x.n))
+    return [(i, int(j)) for i in rows for j in x.plausible(i, np.flatnonzero((comp != comp[i]) & (rows > i)))]
 
 
 def candidate_links(members: DataFrame, every: bool) -> DataFrame:
@@ -311,13 +341,12 @@ def candidate_links(members: DataFrame, every: bool) -> DataFrame:
     spark = members.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     ordered = members.select("gid", "sid", "n", "comp", "sketch").repartition(parts, "gid").sortWithinPartitions("gid")
-    words = SKETCH_BITS // 64
 
     def run(batches):
         a, b = [], []
         for gid, sid, n, comp, sketch in _whole(batches):
-            bits = np.frombuffer(b"".join(sketch), dtype=np.uint64).reshape(len(n), words)
-            for i, j in all_plausible(n, bits, comp) if every else forest(n, bits):
+            x = Sketches(n, list(sketch))
+            for i, j in all_plausible(x, comp) if every else forest(x):
                 a.append(min(sid[i], sid[j]))
                 b.append(max(sid[i], sid[j]))
             if len(a) > 100_000:
@@ -348,14 +377,13 @@ def verified(df: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str, t
 
     The sets are made again from the texts of one document of each class; a bitmap of fixed size keeps the others out.
     """
-    pairs = pairs.withColumn("eid", F.xxhash64("a", "b"))
-    ends = pairs.select("eid", "a", "b", F.explode(F.array("a", "b")).alias("sid"))
-    needed = ends.select("sid").distinct().join(classes.select("sid", "rep"), "sid")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes.select("sid", "rep"), "sid")
     x, kind = _columns(df, doc_id, text)
     x = maybe_repeated(x, F.col("_id"), repeated_bitmap(needed.withColumn("n", F.lit(2)), F.col("rep")), "_maybe").where("_maybe").drop("_maybe")
     ship(df.sparkSession)
 
     def sets(batches):
+        claim("shingles")
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
@@ -364,32 +392,36 @@ def verified(df: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str, t
 
     bodies = x.mapInArrow(sets, f"_id {kind.simpleString()}, sid long, body binary")
     bodies = bodies.join(needed, "sid").where(F.col("_id").eqNullSafe(F.col("rep"))).select("sid", "body")
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    both = ends.join(bodies, "sid").select("eid", "a", "b", "sid", "body").repartition(parts, "eid").sortWithinPartitions("eid", "a", "b", "sid")
+    # Both joins read one shuffle of the bodies; then one body of each pair travels to the other.
+    first = pairs.select("a", "b").join(bodies.withColumnsRenamed({"sid": "a", "body": "x"}), "a")
+    both = first.join(bodies.withColumnsRenamed({"sid": "b", "body": "y"}), "b").select("a", "b", "x", "y")
 
     def judge(batches):
-        before = None
         for batch in batches:
-            out = []
-            for eid, a, b, sid, body in zip(*[c.to_pylist() for c in batch.columns]):
-                if before is not None and before[:2] == (a, b) and before[2] != sid:
-                    s, t = np.frombuffer(before[3], dtype=np.uint64), np.frombuffer(body, dtype=np.uint64)
-                    same = len(np.intersect1d(s, t, assume_unique=True))
-                    out.append((a, b, 100 * same >= threshold * (len(s) + len(t) - same)))
-                before = (a, b, sid, body)
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.bool_())], names=["a", "b", "linked"])
+            linked = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                s, t = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                same = len(np.intersect1d(s, t, assume_unique=True))
+                linked.append(100 * same >= threshold * (len(s) + len(t) - same))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     return both.mapInArrow(judge, "a long, b long, linked boolean").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(sid, comp) of the sets that links (a, b) touch; comp is the least sid of the component.
 
-    Labels fall to the least among neighbours and then to the label's own label, until none changes.
+    Labels fall to the least among neighbours and then to the label's own label, until none changes. With labels of
+    earlier links, only what the new ones join is worked on.
     """
+    if labels is not None:
+        joined = with_components(links, labels).where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        more = components(joined).select(F.col("sid").alias("comp"), F.col("comp").alias("_to"))
+        ends = links.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(labels, "sid", "left_anti").withColumn("comp", F.col("sid"))
+        return cut(labels.unionByName(ends).join(more, "comp", "left").select("sid", F.coalesce("_to", "comp").alias("comp")))
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("sid"), F.least("a", "m").alias("comp")))
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("sid"), F.least("a", "m").alias("comp"))
+    labels = cut(labels)
     while True:
         near = both.join(labels.withColumnRenamed("sid", "b"), "b").groupBy("a").agg(F.min("comp").alias("m"))
         low = labels.join(near.withColumnRenamed("a", "sid"), "sid").select("sid", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
@@ -400,6 +432,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def with_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """pairs (a, b) with ca and cb, the components of their sets; a set without links is a component."""
+    for c in "ab":
+        pairs = pairs.join(labels.select(F.col("sid").alias(c), F.col("comp").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+    return pairs
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, links) per row of df.
 
@@ -413,21 +452,30 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     rows = cut(set_table(df, doc_id, text))
     classes = rows.where("n > 0").groupBy("sid").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("rows"))
     classes = cut(classes)
-    members = cut(shared_lists(key_table(df, text)).join(classes.select("sid", "n", "sketch"), "sid").withColumn("comp", F.col("sid")))
-
-    pairs = cut(candidate_links(members, every=False))
-    tested = cut(verified(df, classes, pairs, doc_id, text, threshold))
+    members = cut(shared_lists(key_table(df, text)))
+    sketched = members.join(classes.select("sid", "n", "sketch"), "sid")
+
+    # A pair's sets are read whole, so only pairs that may join components are verified: first each set's with its
+    # least partner, then the others between the components that remain.
+    pairs = cut(candidate_links(sketched.withColumn("comp", F.col("sid")), every=False))
+    hooks = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    tested = cut(verified(df, classes, hooks, doc_id, text, threshold))
     labels = components(tested.where("linked"))
+    rest = cut(with_components(pairs.join(tested, ["a", "b"], "left_anti"), labels).where("ca <> cb").select("a", "b"))
+    if not rest.isEmpty():
+        new = cut(verified(df, classes, rest, doc_id, text, threshold))
+        tested, labels = tested.unionByName(new), components(new.where("linked"), labels)
     if not tested.where("not linked").isEmpty():
-        # Lists that a refused link has left in several components: every plausible pair across them.
-        again = members.drop("comp").join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        refused = tested.where("not linked")
-        hit = refused.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        lists = again.join(hit, "sid", "left_semi").select("gid").distinct()
-        more = cut(candidate_links(again.join(lists, "gid", "left_semi"), every=True).join(tested, ["a", "b"], "left_anti"))
+        # Lists with a refused pair whose two sets are still apart: every plausible pair across components.
+        again = members.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        apart = with_components(tested.where("not linked"), labels).where("ca <> cb")
+        first = members.join(apart.select(F.col("a").alias("sid"), "b"), "sid").select("gid", F.col("b").alias("sid"))
+        lists = members.join(first, ["gid", "sid"], "left_semi").select("gid").distinct()
+        left = again.join(lists, "gid", "left_semi").join(classes.select("sid", "n", "sketch"), "sid")
+        more = cut(candidate_links(left, every=True).join(tested, ["a", "b"], "left_anti"))
         if not more.isEmpty():
-            tested = cut(tested.unionByName(verified(df, classes, more, doc_id, text, threshold)))
-            labels = components(tested.where("linked"))
+            new = cut(verified(df, classes, more, doc_id, text, threshold))
+            tested, labels = tested.unionByName(new), components(new.where("linked"), labels)
 
     links = tested.where("linked").select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("links"))
     named = classes.select("sid", "rep", "rows").join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.llm.common import SPACE_RUN, SPACES, words_of
+from lagweave.llm.common import SPACE_RUN, SPACES, where_computed, words_of
 
 WINDOW = 5
 
@@ -98,3 +98,11 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
     x = x.withColumn("base_failed", F.greatest(*[r.fails() for r in BASE_RULES]))
     x = x.withColumn("failed_rules", F.filter(F.array(*[F.when(r.fails(), F.lit(r.name)) for r in (*BASE_RULES, *rules)]), lambda n: n.isNotNull()))
     return x.withColumn("kept", F.size("failed_rules") == 0)
+
+
+def keep(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of df that pass every rule, with df's columns. Rows are as in judge()."""
+    own = [c for c in df.columns if c != text]
+    plain = df.select(F.col(f"`{text}`").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row") if own else F.lit(None).alias("_row"))
+    kept = where_computed(judge(plain, "_text", rules), "kept")
+    return kept.select(*[F.col("_text").alias(text) if c == text else F.col("_row").getField(c).alias(c) for c in df.columns])

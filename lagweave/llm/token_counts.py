@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagweave.llm.bpe import chunks, id_type
+from lagweave.llm.common import claim, remembers
 from lagweave.llm.pretokens import Splitter, foreign_characters, read_ranks
 from lagweave.plans.ship import ship
 
@@ -78,6 +79,7 @@ class Trie:
 
 
 _TRIES: dict[int, tuple[Trie, dict]] = {}
+remembers(_TRIES.clear)
 
 
 def count_tokens(df: DataFrame, scores: dict[bytes, float], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,6 +96,7 @@ def count_tokens(df: DataFrame, scores: dict[bytes, float], pattern: str, doc_id
 
     ship(df.sparkSession)
     def run(batches):
+        claim("token_counts")
         key, scores, split = shared.value
         for ids, texts in chunks(batches, CHUNK_CHARS):
             if key not in _TRIES or len(_TRIES[key][0].children) > MAX_NODES:
