@@ -179,7 +179,7 @@ ORACLES: dict[str, str] = {
     "mae_mse": with_(H, select=f"SELECT round({corr('a.v', 'b.v')}, 6) AS corr, round(avg(abs(a.v - b.v)), 6) AS mae, round(avg((a.v - b.v) * (a.v - b.v)), 6) AS mse FROM p a JOIN p b ON a.t = b.t AND a.sid = 'click' AND b.sid = 'view'"),
     "ccm_full_lib": with_(H, *ccm([240], 1, 3, 0, None), select="SELECT lib_size, round(rho, 6) AS rho FROM r"),
     "ccm_sampled": with_(H, *ccm([40, 120], 3, 2, 0, None), select=TRIALS),
-    "ccm_approx": with_(H, *ccm([60, 120], 3, 2, 0, 31), select=TRIALS),
+    "ccm_approx": with_(H, *ccm([60, 120], 3, 2, 0, 37), select=TRIALS),
     "ccm_naive": with_(H, *ccm([40, 120], 2, 2, 1, None, naive=True), select=TRIALS),
     "smap_e1": smap_rows(1),
     "smap_e2": smap_rows(2),
