@@ -290,7 +290,7 @@ class Sketches:
     """The sizes and sketches of a list's sets. Sets that may be linked have sketches of equal size or of twice the size."""
 
     def __init__(self, n: np.ndarray, blobs: list[bytes]):
-        self.n = n
+        self.n = n = n.astype(np.int64)
         self.words = np.array([len(b) // 8 for b in blobs])
         self.row = {}
         self.bits = {}
@@ -340,7 +340,8 @@ def candidate_links(members: DataFrame, every: bool) -> DataFrame:
     """Distinct (a, b), a < b, from (gid, sid, n, sketch, comp): a forest for each list, or every pair across components."""
     spark = members.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    ordered = members.select("gid", "sid", "n", "comp", "sketch").repartition(parts, "gid").sortWithinPartitions("gid")
+    members = members if every else members.withColumn("comp", F.lit(0).cast("long"))
+    ordered = members.select("gid", "sid", F.col("n").cast("int").alias("n"), "comp", "sketch").repartition(parts, "gid").sortWithinPartitions("gid")
 
     def run(batches):
         a, b = [], []
@@ -423,10 +424,13 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("sid"), F.least("a", "m").alias("comp"))
     labels = cut(labels)
     while True:
-        near = both.join(labels.withColumnRenamed("sid", "b"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        low = labels.join(near.withColumnRenamed("a", "sid"), "sid").select("sid", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        jump = labels.select(F.col("sid").alias("comp"), F.col("comp").alias("next"))
-        moved = cut(low.join(jump, "comp", "left").select("sid", "old", F.least(F.col("comp"), F.coalesce("next", "comp")).alias("comp")))
+        x = labels
+        for _ in range(2):  # two steps a job
+            near = both.join(x.withColumnRenamed("sid", "b"), "b").groupBy("a").agg(F.min("comp").alias("m"))
+            low = x.join(near.withColumnRenamed("a", "sid"), "sid").select("sid", F.least("comp", "m").alias("comp"))
+            jump = x.select(F.col("sid").alias("comp"), F.col("comp").alias("next"))
+            x = low.join(jump, "comp", "left").select("sid", F.least(F.col("comp"), F.coalesce("next", "comp")).alias("comp"))
+        moved = cut(x.join(labels.withColumnRenamed("comp", "old"), "sid"))
         labels = moved.select("sid", "comp")
         if moved.where("comp <> old").isEmpty():
             return labels
@@ -457,7 +461,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
     # A pair's sets are read whole, so only pairs that may join components are verified: first each set's with its
     # least partner, then the others between the components that remain.
-    pairs = cut(candidate_links(sketched.withColumn("comp", F.col("sid")), every=False))
+    pairs = cut(candidate_links(sketched, every=False))
     hooks = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     tested = cut(verified(df, classes, hooks, doc_id, text, threshold))
     labels = components(tested.where("linked"))
