@@ -27,6 +27,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_in_loop(df: DataFrame) -> DataFrame:
+    """As cut, for tables that are joined with themselves again and again.
+
+    A checkpoint keeps the optimizer's estimate of its size, and a join's is the product of both sides'. Over the steps of
+    a loop that number gets exponentially many digits, which takes the driver's time and memory. Here it starts anew.
+    """
+    spark, kept = df.sparkSession, cut(df)
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the files of shuffles and checkpoints that nothing refers to any more go, and the plans that led to them.
+
+    Spark removes them when the driver's garbage is collected, which it asks for only every half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _CACHES: list = []
 _OWNER: list[str] = [""]
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagweave.llm.bpe import id_type
-from lagweave.llm.common import claim, cut, maybe_repeated, remembers, repeated_bitmap, spread_join
+from lagweave.llm.common import claim, cut, cut_in_loop, maybe_repeated, release, remembers, repeated_bitmap, spread_join
 from lagweave.plans.ship import ship
 
 SHINGLE = 5
@@ -419,15 +419,15 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         joined = with_components(links, labels).where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         more = components(joined).select(F.col("sid").alias("comp"), F.col("comp").alias("_to"))
         ends = links.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(labels, "sid", "left_anti").withColumn("comp", F.col("sid"))
-        return cut(labels.unionByName(ends).join(more, "comp", "left").select("sid", F.coalesce("_to", "comp").alias("comp")))
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        return cut_in_loop(labels.unionByName(ends).join(more, "comp", "left").select("sid", F.coalesce("_to", "comp").alias("comp")))
+    both = cut_in_loop(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("sid"), F.least("a", "m").alias("comp"))
-    labels = cut(labels)
+    labels = cut_in_loop(labels)
     while True:
         near = both.join(labels.withColumnRenamed("sid", "b"), "b").groupBy("a").agg(F.min("comp").alias("m"))
         low = labels.join(near.withColumnRenamed("a", "sid"), "sid").select("sid", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         jump = labels.select(F.col("sid").alias("comp"), F.col("comp").alias("next"))
-        moved = cut(low.join(jump, "comp", "left").select("sid", "old", F.least(F.col("comp"), F.coalesce("next", "comp")).alias("comp")))
+        moved = cut_in_loop(low.join(jump, "comp", "left").select("sid", "old", F.least(F.col("comp"), F.coalesce("next", "comp")).alias("comp")))
         labels = moved.select("sid", "comp")
         if moved.where("comp <> old").isEmpty():
             return labels
@@ -454,17 +454,20 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     classes = rows.where("n > 0").groupBy("sid").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("rows"))
     classes = cut(classes)
     members = cut(shared_lists(key_table(df, text)))
+    release(df.sparkSession)
     sketched = members.join(classes.select("sid", "n", "sketch"), "sid")
 
     # A pair's sets are read whole, so only pairs that may join components are verified: first each set's with its
     # least partner, then the others between the components that remain.
-    pairs = cut(candidate_links(sketched, every=False))
+    pairs = cut_in_loop(candidate_links(sketched, every=False))
+    release(df.sparkSession)
     hooks = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    tested = cut(verified(df, classes, hooks, doc_id, text, threshold))
+    tested = cut_in_loop(verified(df, classes, hooks, doc_id, text, threshold))
     labels = components(tested.where("linked"))
-    rest = cut(with_components(pairs.join(tested, ["a", "b"], "left_anti"), labels).where("ca <> cb").select("a", "b"))
+    release(df.sparkSession)
+    rest = cut_in_loop(with_components(pairs.join(tested, ["a", "b"], "left_anti"), labels).where("ca <> cb").select("a", "b"))
     if not rest.isEmpty():
-        new = cut(verified(df, classes, rest, doc_id, text, threshold))
+        new = cut_in_loop(verified(df, classes, rest, doc_id, text, threshold))
         tested, labels = tested.unionByName(new), components(new.where("linked"), labels)
     if not tested.where("not linked").isEmpty():
         # Lists with a refused pair whose two sets are still apart: every plausible pair across components.
@@ -473,12 +476,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         first = members.join(apart.select(F.col("a").alias("sid"), "b"), "sid").select("gid", F.col("b").alias("sid"))
         lists = members.join(first, ["gid", "sid"], "left_semi").select("gid").distinct()
         left = again.join(lists, "gid", "left_semi").join(classes.select("sid", "n", "sketch"), "sid")
-        more = cut(candidate_links(left, every=True).join(tested, ["a", "b"], "left_anti"))
+        more = cut_in_loop(candidate_links(left, every=True).join(tested, ["a", "b"], "left_anti"))
         if not more.isEmpty():
-            new = cut(verified(df, classes, more, doc_id, text, threshold))
+            new = cut_in_loop(verified(df, classes, more, doc_id, text, threshold))
             tested, labels = tested.unionByName(new), components(new.where("linked"), labels)
 
     links = tested.where("linked").select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("links"))
+    release(df.sparkSession)
     named = classes.select("sid", "rep", "rows").join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     named = cut(named)
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
