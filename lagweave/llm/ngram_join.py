@@ -193,7 +193,7 @@ def grouped(batches, n_columns: int) -> Iterator[tuple]:
         edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         for lo, hi in zip(edges[:-1], edges[1:]):
             if current is None or key[lo] != current:
-                if current is not None:
+                if held[0]:
                     yield (*[np.concatenate(h) for h in held], piece)
                 held, piece, current = [[] for _ in range(n_columns)], 0, key[lo]
             for at in range(lo, hi, LIST_BLOCK):
@@ -202,7 +202,7 @@ def grouped(batches, n_columns: int) -> Iterator[tuple]:
                 if sum(map(len, held[0])) >= LIST_BLOCK:
                     yield (*[np.concatenate(h) for h in held], piece)
                     held, piece = [[] for _ in range(n_columns)], piece + 1
-    if current is not None and held[0]:
+    if held[0]:
         yield (*[np.concatenate(h) for h in held], piece)
 
 
@@ -220,9 +220,8 @@ def shared_lists(key_rows: DataFrame) -> DataFrame:
         given: set[int] = set()
         rows: list[tuple] = []
         size = 0
-        for key, sid, piece in _pairs_only(batches):
-            sids = sid[np.concatenate([[True], sid[1:] != sid[:-1]])]
-            if len(sids) < 2 and piece == 0:
+        for key, sids, piece in _pairs_only(batches):
+            if len(sids) < 2 and piece < 0:
                 continue
             gid = set_id(sids) if piece < 0 else int(key[0])
             if piece < 0:
@@ -250,21 +249,26 @@ def shared_lists(key_rows: DataFrame) -> DataFrame:
 def _pairs_only(batches):
     """Runs of grouped(), without the many of one row: a batch's lone rows are dropped before its runs are cut.
 
-    The last item is -1 for a run that is whole, else the piece's number.
+    Equal rows, as partitions give them of the same set, count once. The last item is -1 for a run that is whole, else the piece's number.
     """
 
     def slim():
-        carry = None
+        carry = sent = None
         for b in batches:
             k, s = b.column(0).to_numpy(), b.column(1).to_numpy()
             if carry is not None:
                 k, s = np.concatenate([carry[0], k]), np.concatenate([carry[1], s])
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])[: len(k)]
+            if len(k) and sent == (k[0], s[0]):
+                new[0] = False
+            k, s = k[new], s[new]
             last = int(np.searchsorted(k, k[-1])) if len(k) else 0
             if len(k) - last >= LIST_BLOCK:
                 last = len(k)
             carry = (k[last:], s[last:])
             k, s = k[:last], s[:last]
             if len(k):
+                sent = (k[-1], s[-1])
                 same = k[1:] == k[:-1]
                 lone = ~(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
                 if not lone.all():

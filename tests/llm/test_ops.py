@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -113,6 +114,60 @@ def test_parity_keys_meet():
                 assert len(x.plausible(0, np.array([1]))) == 1
 
 
+def batches_of(rows, sizes):
+    at = 0
+    for n in sizes:
+        part, at = rows[at : at + n], at + n
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], pa.int64()) for c in (0, 1)], names=["key", "sid"])
+
+
+def cuts(rng, n):
+    """Sizes of batches of n rows in all."""
+    edges = sorted([0, n, *rng.sample(range(n + 1), min(n, rng.randrange(6)))])
+    return [b - a for a, b in zip(edges[:-1], edges[1:])]
+
+
+def test_runs_of_blocks(monkeypatch):
+    """Runs around multiples of the block size, however batches cut them."""
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", 4)
+    rng = random.Random(5)
+    for _ in range(2000):
+        runs = {key: rng.choice([1, 1, 2, 3, 4, 5, 8, 9, 13]) for key in rng.sample(range(50), 5)}
+        rows = sorted((key, sid) for key, n in runs.items() for sid in range(n))
+        got = {}
+        for key, sid, piece in ngram_join.grouped(batches_of(rows, cuts(rng, len(rows))), 2):
+            assert len(set(key.tolist())) == 1 and piece == len(got.setdefault(int(key[0]), []))
+            got[int(key[0])].append(sid.tolist())
+        assert {k: sum(v, []) for k, v in got.items()} == {k: list(range(n)) for k, n in runs.items()}
+
+
+def test_long_lists(spark):
+    """Lists of several blocks, followed by others: every two sets meet in a list, and all of a list are linked."""
+    n = 40_000
+    long = spark.range(n).selectExpr("7L key", "id sid")
+    short = spark.range(600).selectExpr("1000 + id div 3 key", "id sid")
+    found = {}
+    for r in ngram_join.shared_lists(long.unionByName(long.where("sid % 5 = 0")).unionByName(short)).collect():
+        found.setdefault(r["gid"], []).append(r["sid"])
+    assert all(len(s) == len(set(s)) for s in found.values())
+    assert sorted(sorted(s) for s in found.values() if len(s) == 3) == [[k, k + 1, k + 2] for k in range(0, 600, 3)]
+    lists_of = {}
+    for gid, sids in found.items():
+        for sid in sids if len(sids) > 3 else []:
+            lists_of.setdefault(sid, set()).add(gid)
+    kinds = {frozenset(s) for s in lists_of.values()}
+    assert len(lists_of) == n and len(kinds) > 1 and all(a & b for a in kinds for b in kinds)
+
+    sizes = [17_000, 20_000, 33_000, 3, 5, 2]
+    members = [spark.range(m).selectExpr(f"{g}L gid", f"{g * 100_000} + id sid", "10 n", "cast(repeat('a', 128) as binary) sketch") for g, m in enumerate(sizes)]
+    whole = members[0]
+    for m in members[1:]:
+        whole = whole.unionByName(m)
+    links = ngram_join.candidate_links(whole.coalesce(1), every=False).selectExpr("a div 100000 g", "a", "b div 100000 h", "b").toPandas()
+    assert (links.g == links.h).all() and links.groupby("g").size().to_dict() == {g: m - 1 for g, m in enumerate(sizes)}
+    assert (links.groupby("g").apply(lambda x: len(set(x.a) | set(x.b)), include_groups=False) == sizes).all()
+
+
 def test_line_dedup(hard, empty, spark):
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(hard).where("doc_id in (1, 14, 15)").collect()}
     assert got[15]["text"] == "l0\nzz" and got[15]["n_removed"] == 4 and got[14]["n_removed"] == 0 and got[1]["text"] is None
