@@ -268,12 +268,14 @@ def _pairs_only(batches):
             carry = (k[last:], s[last:])
             k, s = k[:last], s[:last]
             if len(k):
+                # A row is not lone if others of its key have gone before.
+                more = sent is not None and sent[0] == k[0]
                 sent = (k[-1], s[-1])
                 same = k[1:] == k[:-1]
-                lone = ~(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+                lone = ~(np.concatenate([[more], same]) | np.concatenate([same, [False]]))
                 if not lone.all():
                     yield pa.RecordBatch.from_arrays([pa.array(k[~lone]), pa.array(s[~lone])], names=["key", "sid"])
-        if carry is not None and len(carry[0]) > 1:
+        if carry is not None and (len(carry[0]) > 1 or (len(carry[0]) and sent is not None and sent[0] == carry[0][0])):
             yield pa.RecordBatch.from_arrays([pa.array(carry[0]), pa.array(carry[1])], names=["key", "sid"])
 
     before = None

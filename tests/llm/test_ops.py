@@ -141,6 +141,21 @@ def test_runs_of_blocks(monkeypatch):
         assert {k: sum(v, []) for k, v in got.items()} == {k: list(range(n)) for k, n in runs.items()}
 
 
+def test_block_edges(monkeypatch):
+    """No row of a run of two or more is lost where a block, a batch or the input ends; equal rows count once."""
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", 4)
+    rng = random.Random(6)
+    for _ in range(2000):
+        runs = {key: rng.choice([1, 1, 2, 3, 4, 5, 8, 9, 13]) for key in rng.sample(range(50), 5)}
+        rows = sorted((key, sid) for key, n in runs.items() for sid in range(n))
+        copies = sorted(rows + [r for r in rows if rng.random() < 0.3])
+        lists = {}
+        for key, sid, piece in ngram_join._pairs_only(batches_of(copies, cuts(rng, len(copies)))):
+            lists.setdefault(int(key[0]), []).append((piece, sid.tolist()))
+        assert {k: sum((s for _, s in v), []) for k, v in lists.items()} == {k: list(range(n)) for k, n in runs.items() if n > 1}
+        assert all([p for p, _ in v] == ([-1] if len(v) == 1 else list(range(len(v)))) for v in lists.values())
+
+
 def test_long_lists(spark):
     """Lists of several blocks, followed by others: every two sets meet in a list, and all of a list are linked."""
     n = 40_000
