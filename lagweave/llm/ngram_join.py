@@ -22,10 +22,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lagweave.llm.bpe import id_type
 from lagweave.llm.common import claim, cut, cut_in_loop, maybe_repeated, release, remembers, repeated_bitmap, spread_join
@@ -454,6 +456,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     no shingles, no links, and is its own component. Documents of equal sets are linked. Rows that repeat an id are
     documents of their own. Extra columns do not matter.
     """
+    found = _found(df, doc_id, text, threshold)
+    return found.select(F.col("_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", "links")
+
+
+def _found(df: DataFrame, doc_id: str, text: str, threshold: int) -> DataFrame:
+    """near_duplicates as (_id, n, sid, comp, component_id, links); comp is the least sid of the component, null for the empty set."""
     if threshold != 75:
         raise ValueError("the bounds of this join are those of a threshold of 75 percent")
     rows = cut(set_table(df, doc_id, text))
@@ -492,16 +500,44 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     named = classes.select("sid", "rep", "rows").join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     named = cut(named)
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = cut(named.join(least, "comp").join(links, "sid", "left").select("sid", "rows", "component_id", F.coalesce("links", F.lit(0)).alias("links")))
-    some = spread_join(rows.where("n > 0").select("_id", "n", "sid"), named, "sid", "rows").select("_id", "n", "component_id", "links")
-    none = rows.where("n = 0").select("_id", "n", F.col("_id").alias("component_id"), F.lit(0).cast("long").alias("links"))
-    return some.unionByName(none).select(F.col("_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", "links")
+    named = cut(named.join(least, "comp").join(links, "sid", "left").select("sid", "rows", "comp", "component_id", F.coalesce("links", F.lit(0)).alias("links")))
+    some = spread_join(rows.where("n > 0").select("_id", "n", "sid"), named, "sid", "rows").select("_id", "n", "sid", "comp", "component_id", "links")
+    none = rows.where("n = 0").select("_id", "n", "sid", F.lit(None).cast("long").alias("comp"), F.col("_id").alias("component_id"), F.lit(0).cast("long").alias("links"))
+    return some.unionByName(none)
 
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df of one document of each component, that of least id. Only texts that may go travel."""
-    gone = cut(near_duplicates(df, doc_id, text).where(~F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("_gone")).distinct())
+    """The rows of df of one document of each component, that of least id. Only texts that may go travel.
+
+    Rows that repeat an id, or have none, are told apart by their sets: of those with the component's least id one of the
+    least set stays, and no other row with that id is touched.
+    """
+    x = cut(_found(df, doc_id, text, 75).select("_id", "n", "sid", "comp", "component_id"))
+    first = F.col("_id").eqNullSafe(F.col("component_id"))
+    # Of a pair (id, set) _stay says whether all rows stay (2), one of them (1) or none (0).
+    heads = x.where(first & (F.col("n") > 0))
+    several = cut(heads.groupBy("comp").agg(F.min("sid").alias("_least"), F.count("*").alias("rows")).where("rows > 1"))
+    fates = x.where(~first | (F.col("n") == 0)).select("_id", "sid", F.when(F.col("n") == 0, 2).otherwise(0).alias("_stay"))
+    one = F.when(F.col("_least").isNull(), 2).when(F.col("sid") == F.col("_least"), 1).otherwise(0)
+    fates = fates.unionByName(spread_join(heads, several, "comp", "rows").select("_id", "sid", one.alias("_stay")))
+    gone = cut(fates.groupBy("_id").agg(F.min("_stay").alias("_lo"), F.max("_stay").alias("_hi")).where("_lo < 2").select(F.col("_id").alias("_gone"), "_hi"))
     x = maybe_repeated(df.withColumn("_key", F.col(f"`{doc_id}`")), F.col("_key"), repeated_bitmap(gone.withColumn("n", F.lit(2)), F.col("_gone")), "_maybe")
     stay = x.where(~F.col("_maybe"))
     rest = x.where("_maybe").join(gone, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti")
-    return stay.unionByName(rest).select(*[F.col(f"`{c}`") for c in df.columns])
+    out = stay.unionByName(rest)
+    mixed = gone.where("_hi > 0").select("_gone")
+    if not mixed.isEmpty():
+        pairs = fates.where("_stay > 0").join(mixed, F.col("_id").eqNullSafe(F.col("_gone")), "left_semi").distinct().select(F.col("_id").alias("_of"), F.col("sid").alias("_set"), "_stay")
+
+        @F.pandas_udf("long")
+        def set_of(texts: pd.Series) -> pd.Series:
+            claim("shingles")
+            sets = map(shingles, texts)
+            return pd.Series([set_id(s) if len(s) else 0 for s in sets], dtype="int64")
+
+        some = x.where("_maybe").join(mixed, F.col("_key").eqNullSafe(F.col("_gone")), "left_semi").withColumn("_sid", set_of(F.col(f"`{text}`").cast("string")))
+        some = some.join(pairs, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_sid") == F.col("_set")))
+        rank = F.row_number().over(Window.partitionBy("_key", "_sid").orderBy(F.col(f"`{text}`")))
+        single = some.where("_stay = 1").withColumn("_rank", rank).where("_rank = 1")
+        out = out.unionByName(some.where("_stay = 2").select(out.columns)).unionByName(single.select(out.columns))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -100,6 +100,20 @@ def test_near_duplicates(hard, empty):
     assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.dedup(empty).columns == empty.columns
 
 
+def test_near_dedup_rows(spark, hard):
+    """One row of each group goes on, whatever ids repeat or are null, and rows of other texts with its id stay."""
+    a, b, c, d = (" ".join(f"{w}{k}" for k in range(40)) for w in "abcd")
+    # a copy's id on another text; null ids as copies, as others and among themselves; a group's least id on several rows; no words
+    rows = [(1, a), (2, a + " x"), (2, b), (None, a + " y"), (None, c), (None, c + " x"), (None, c), (None, "lone one"), (7, d), (7, d), (7, d + " z"), (8, d), (7, "other words"), (None, ""), (None, None), (2, ""), (9, "p q r s t"), (9, "P q r s t")]
+    got = [(r["doc_id"], r["text"]) for r in ngram_join.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    of_c, of_d, of_p = ([r for r in got if r[1] and r[1].startswith(w)] for w in ("c0 ", "d0 ", ("p q", "P q")))
+    assert len(of_c) == len(of_d) == len(of_p) == 1 and of_d[0][0] == 7
+    want = [(1, a), (2, b), (None, "lone one"), (7, "other words"), (None, ""), (None, None), (2, "")]
+    assert sorted(map(str, got)) == sorted(map(str, want + of_c + of_d + of_p))
+    kept = ngram_join.dedup(hard).collect()
+    assert len(kept) == len({r["component_id"] for r in ngram_join.near_duplicates(hard).collect()})
+
+
 def test_parity_keys_meet():
     rng = np.random.default_rng(1)
     for n in (3, 20, 64, 70, 400, 1000, 1400, 3000):
