@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 #: URLs that training reads at most, those with the least hash of each label, half of either label.
 TRAIN_ROWS = 20_000
-#: Suffixes (last two labels of a host) with a statistic of their own; others get that of all.
-MAX_SUFFIXES = 1000
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-._~/?#&=%+:@"
 
 
@@ -80,7 +78,7 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
 
 @dataclass
 class Boosted:
-    """trees: nested [feature, threshold, left, right] or leaf values; suffixes: log-odds by suffix."""
+    """trees: nested [feature, threshold, left, right] or leaf values; suffixes: log-odds by suffix (last two labels of a host), others get that of all."""
 
     names: list[str]
     base: float
@@ -178,8 +176,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Boosted:
     odds = lambda s, n: np.log((s + 20 * prior + 0.5) / (n - s + 20 * (1 - prior) + 0.5))
     at = by.loc[pdf["_suffix"]]
     own = odds(at["sum"].to_numpy() - y, at["count"].to_numpy() - 1)
-    top = by.sort_values(["count"], ascending=False, kind="stable").head(MAX_SUFFIXES)
-    suffixes = {str(k): float(v) for k, v in zip(top.index, odds(top["sum"], top["count"]))} | {"": float(odds(0, 0))}
+    suffixes = {str(k): float(v) for k, v in zip(by.index, odds(by["sum"], by["count"]))} | {"": float(odds(0, 0))}
     matrix = np.column_stack([pdf[[f"_f{k}" for k in range(len(names))]].to_numpy(dtype=float), own])
     return grow(matrix, y, [*names, "suffix"], suffixes)
 
@@ -190,7 +187,7 @@ def score(df: DataFrame, model: Boosted, url: str = "url") -> DataFrame:
     default = model.suffixes.get("", 0.0)
     table = [(k, v) for k, v in model.suffixes.items() if k]
     if table:
-        known = F.broadcast(df.sparkSession.createDataFrame(table, "_suffix string, _odds double"))  # at most MAX_SUFFIXES rows
+        known = F.broadcast(df.sparkSession.createDataFrame(table, "_suffix string, _odds double"))  # at most as many rows as training reads
         x = x.join(known, "_suffix", "left")
     else:
         x = x.withColumn("_odds", F.lit(default))

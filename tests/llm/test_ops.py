@@ -258,6 +258,12 @@ def test_url_filter(spark):
     assert url_filter.judge(df.where("false"), [], url_filter.train(labelled.where("false"))).count() == 0
 
 
+def test_url_suffixes(spark):
+    """Every suffix of the training sample has its statistic when URLs are scored."""
+    labelled = spark.createDataFrame([(f"http://www.place{k}.net/{j}", k % 2) for k in range(1200) for j in range(2)], "url string, label int")
+    assert set(url_filter.train(labelled).suffixes) == {f"place{k}.net" for k in range(1200)} | {""}
+
+
 def test_mixing(hard, empty, spark, sf):
     got = mixing.mix_counts(hard).collect()
     assert len(got) == len(HARD) and all(0 <= r["copies"] <= 3 for r in got)
