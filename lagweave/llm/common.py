@@ -64,6 +64,12 @@ def claim(owner: str) -> None:
         gc.collect()
 
 
+def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1, ..., so that none clashes with an operator's own, and the new name of each."""
+    new = [f"c{k}" for k in range(len(df.columns))]
+    return df.toDF(*new), dict(zip(df.columns, new))
+
+
 def words_of(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ as an array, empty for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

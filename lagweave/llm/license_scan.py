@@ -1,150 +1,130 @@
 """License scans by a positional index of rare tokens.
 
-Templates are short licence notices. Each file looks up its words of highest IDF among the licence words; a hit at
-word p of the file and word q of a template votes for the template starting at p - q. Offsets with enough votes by
-weight are verified against the template's mandatory phrase. Words and postings of templates are constants of the
-program, so their broadcast does not grow with the input.
+The index holds, for every licence word, its places in the mandatory phrases of licence texts. A file looks up its
+licence words in the order of falling IDF. It can only hold a template's phrases if it has all their words, and then
+its highest-IDF words among them are the phrases' own RARE_WORDS rarest; so the file's places of each of these words,
+moved back by the word's places in the template, are intersected: what is left are the starts at which all of them
+stand at the right distance. There the phrases are verified word by word, and the template counts if the words that
+stand at their places carry enough of its weight (IDF). The index is a constant of the program, so it does not grow
+with the input.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.llm.common import ascii_lower
+from lagweave.llm.common import ascii_lower, hidden
+from lagweave.llm.licenses import BASE_PHRASES, TEMPLATES, Template, words_in
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Highest-IDF words of a mandatory phrase that a file is looked up by; the rest of the template only weighs in the score.
-RARE_WORDS = 2
+#: Highest-IDF words of a template's phrases whose postings are intersected.
+RARE_WORDS = 3
 #: Share of a template's weight that must stand at its place.
 MIN_SCORE = 0.5
-
-
-@dataclass(frozen=True)
-class Template:
-    label: str
-    text: str
-    phrase: str  # mandatory; stands within the text
-
-    @property
-    def words(self) -> list[str]:
-        return self.text.split()
-
-
-#: Phrases of which every place counts, and the labels they prove.
-BASE_PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
-
-#: Opening words of common notices, in lower case without punctuation.
-TEMPLATES = (
-    Template("mit", "released under the mit license", "the mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    Template("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    Template("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
-    Template("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    Template("gpl-2", "this program is licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    Template("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
-    Template("agpl", "licensed under the gnu affero general public license", "gnu affero general public license"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-)
+RESULTS = ("n_words", "base_hits", "matches", "labels", "score")
 
 
 def tokens(text: Column) -> Column:
     """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased; empty for null."""
-    trimmed = F.regexp_replace(F.coalesce(ascii_lower(text), F.lit("")), f"^{WORD_GAP}|{WORD_GAP}$", "")
+    # \z, as $ would also take a gap before a final line separator, which is a word character here
+    trimmed = F.regexp_replace(F.coalesce(ascii_lower(text), F.lit("")), rf"^{WORD_GAP}|{WORD_GAP}\z", "")
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_GAP))
 
 
-def vocabulary(templates=TEMPLATES, phrases=BASE_PHRASES) -> list[str]:
-    return sorted({w for t in templates for w in (*t.words, *t.phrase.split())} | {w for _, p in phrases for w in p.split()})
+def targets_of(templates: tuple[Template, ...], phrases, min_score: float) -> list[tuple[str, list[str], list[tuple[int, str]], float, bool]]:
+    """(label, words, keys, least score, whether it is a base phrase) of everything that is looked for."""
+    base = [(label, words_in(p), list(enumerate(words_in(p))), 1.0, True) for label, p in phrases]
+    return base + [(t.label, t.words, t.keys, min_score, False) for t in templates]
 
 
 def word_idf(words: DataFrame, vocab: list[str]) -> dict[str, float]:
     """IDF of each licence word over all rows of words(_words), smoothed. One row per licence word comes back."""
-    lit = F.array(*[F.lit(w) for w in vocab])
-    found = words.select(F.explode(F.concat(F.array_intersect(lit, F.col("_words")), F.array(F.lit("")))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    found = words.select(F.explode(F.concat(F.array_intersect(F.expr(listing(vocab)), F.col("_words")), F.array(F.lit("")))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     n = {r["w"]: r["n"] for r in found.collect()}
     total = n.get("", 0)  # the empty word stands once in each row
     return {w: math.log((total + 1) / (n.get(w, 0) + 1)) + 1e-6 for w in vocab}
 
 
-def anchors(words: list[str], idf: dict[str, float], rare: int) -> list[tuple[str, int]]:
-    """The highest-IDF words among them, each at its first position."""
-    first = {w: q for q, w in reversed(list(enumerate(words)))}
-    return sorted(first.items(), key=lambda x: (-idf[x[0]], x[0]))[:rare]
+def rarest(keys: list[tuple[int, str]], idf: dict[str, float], rare: int) -> dict[str, list[int]]:
+    """The highest-IDF words of the keys with all their places."""
+    words = sorted({w for _, w in keys}, key=lambda w: (-idf[w], w))[:rare]
+    return {w: [q for q, v in keys if v == w] for w in words}
 
 
-def score_at(words: list[str], idf: dict[str, float], start: Column) -> Column:
-    """Share of the words' weight that stands at its place if they start there."""
-    whole = sum(idf[w] for w in words)
-    return reduce(lambda a, b: a + b, [F.when(F.get(F.col("_words"), start + q) == w, idf[w] / whole).otherwise(0.0) for q, w in enumerate(words)])
+# The expressions over a template are SQL text, which the driver parses at once; as Column objects, each of their many
+# constants would be a call to the JVM. Words hold no quotes, being runs of letters and digits.
 
 
-def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, phrases=BASE_PHRASES, rare: int = RARE_WORDS, min_score: float = MIN_SCORE) -> DataFrame:
-    """df with n_words, base_hits (label, start), matches (label, start, score), labels and score.
+def listing(values, kind: str = "string") -> str:
+    """A constant array."""
+    return f"cast(split('{' '.join(map(str, values))}', ' ') AS array<{kind}>)"
 
-    labels are those of all base hits and matches, distinct and sorted; score is that of the best match, 1 with a
-    base hit, else 0. Null and empty texts have no words and no hits. Every row is scanned on its own, so repeated
-    rows give the same result; columns of df of these names are replaced, others passed on.
 
-    One pass over the table counts the licence words, a second one looks them up. Positions are listed only in files
-    that hold an anchor, one of the highest-IDF words of a template's mandatory phrase.
-    """
-    vocab = vocabulary(templates, phrases)
-    idf = word_idf(df.select(tokens(F.col(f"`{text}`")).alias("_words")), vocab)
-
-    # Postings: for each anchor word, where each template (or base phrase) starts relative to it.
-    targets = [(t.label, t.words, _within(t.words, t.phrase.split()), min_score, False) for t in templates]
-    targets += [(lb, p.split(), 0, 1.0, True) for lb, p in phrases]
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for k, (_, words, _, _, base) in enumerate(targets):
-        key = words if base else templates[k].phrase.split()
-        shift = 0 if base else targets[k][2]
-        for w, q in anchors(key, idf, 1 if base else rare):
-            # a word that stands twice in the phrase votes with each of its places
-            postings.setdefault(w, []).extend((k, shift + q2) for q2, w2 in enumerate(key) if w2 == w)
-
-    x = df.withColumn("_words", tokens(F.col(f"`{text}`"))).withColumn("n_words", F.size("_words").cast("long"))
-    lookup = sorted(postings)
-    listed = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(lookup), F.struct(w.alias("w"), i.alias("i")))), lambda h: h.isNotNull())
-    x = x.withColumn("_hits", F.when(F.arrays_overlap("_words", F.array(*[F.lit(w) for w in lookup])), listed))
+def starts_of(anchors: dict[str, list[int]]) -> str:
+    """The starts on which the hits of all anchors agree: their postings intersected by relative position."""
+    each = [f"flatten(transform(filter(_hits, h -> h.w = '{w}'), h -> array({', '.join(f'h.i - {q}' for q in at)})))" for w, at in anchors.items()]
+    return reduce(lambda a, b: f"array_intersect({a}, {b})", each[1:], f"array_distinct({each[0]})")
 
-    def places(k: int) -> Column:
-        """Distinct starts that the hits vote for."""
-        each = [_moved(w, q) for w, own in postings.items() for kk, q in own if kk == k]
-        return F.array_sort(F.array_distinct(F.concat(*each)))
 
-    def located(k: int) -> Column:
-        label, words, at, least, base = targets[k]
-        verified = _standing(words if base else templates[k].phrase.split(), at)
-        struct = lambda s: F.struct(F.lit(label).alias("label"), s.cast("long").alias("start"), (F.lit(1.0) if base else score_at(words, idf, s)).alias("score"))
-        return F.filter(F.transform(F.filter(places(k), verified), struct), lambda m: m["score"] >= least - 1e-9)
+def stand_at(start: str, places: list[tuple[int, str]]) -> str:
+    """Whether every word stands at its place if the template starts there."""
+    wanted = f"arrays_zip({listing([q for q, _ in places], 'int')}, {listing([w for _, w in places])})"
+    return f"forall({wanted}, x -> get(_words, {start} + x.`0`) <=> x.`1`)"
+
+
+def score_at(start: str, words: list[str], idf: dict[str, float]) -> str:
+    """Share of the words' weight that stands at its place if the template starts there."""
+    weight = listing([idf[w] for w in words], "double")
+    return f"aggregate(transform({listing(words)}, (w, q) -> if(get(_words, {start} + q) <=> w, get({weight}, q), 0D)), 0D, (a, b) -> a + b) / {sum(idf[w] for w in words)!r}D"
 
-    found = [(t[4], located(k)) for k, t in enumerate(targets)]
-    none = F.array().cast("array<struct<label:string,start:bigint,score:double>>")
-    x = x.withColumn("base_hits", F.when(F.col("_hits").isNull(), none).otherwise(F.flatten(F.array(*[f for b, f in found if b]))))
-    x = x.withColumn("matches", F.when(F.col("_hits").isNull(), none).otherwise(F.flatten(F.array(*[f for b, f in found if not b]))))
-    both = F.concat("base_hits", "matches")
-    x = x.withColumn("labels", F.array_sort(F.array_distinct(F.transform(both, lambda m: m["label"]))))
-    x = x.withColumn("score", F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform(both, lambda m: m["score"])), F.lit(0.0))))
-    return x.drop("_words", "_hits")
 
+def matches_of(target, anchors: dict[str, list[int]], idf: dict[str, float]) -> str:
+    """(label, start, score) of the places where a target stands."""
+    label, words, keys, least, base = target
+    stands = f"filter(array_sort({starts_of(anchors)}), s -> {stand_at('s', keys)})"
+    found = f"transform({stands}, s -> named_struct('label', '{label}', 'start', cast(s AS bigint), 'score', {'1D' if base else score_at('s', words, idf)}))"
+    return f"filter({found}, m -> m.score >= {least - 1e-9!r}D)"
 
-def _moved(word: str, q: int) -> Column:
-    return F.transform(F.filter("_hits", lambda h: h["w"] == word), lambda h: h["i"] - q)
 
+def scan(df: DataFrame, text: str = "text", templates: tuple[Template, ...] = TEMPLATES, phrases=BASE_PHRASES, rare: int = RARE_WORDS, min_score: float = MIN_SCORE) -> DataFrame:
+    """df with n_words, base_hits (label, start), matches (label, start, score), labels and score.
 
-def _standing(phrase: list[str], at: int):
-    def verified(start: Column) -> Column:
-        return reduce(lambda a, b: a & b, [F.coalesce(F.get(F.col("_words"), start + (at + q)) == w, F.lit(False)) for q, w in enumerate(phrase)])
+    base_hits are all places of the base phrases. matches are all places where a template's mandatory phrases stand
+    and at least min_score of its weight; a start may be negative where a file lacks the template's beginning. labels
+    are those of both, distinct and sorted; score is that of the best match, 1 with a base hit, else 0.
 
-    return verified
+    The weights are IDFs over all rows of df, so a match near min_score may depend on the other rows; base hits do not.
+    Null and empty texts have no words and no hits. Repeated rows give the same result, an empty table an empty one.
+    Columns of df of these names are replaced, all others passed on, whatever their names.
 
+    One pass over the table counts the licence words, a second one looks them up. Places are listed only in files
+    that hold an anchor.
+    """
+    targets = targets_of(templates, phrases, min_score)
+    vocab = sorted({w for _, words, _, _, _ in targets for w in words})
+    own = [c for c in df.columns if c.lower() not in RESULTS]
+    x, name = hidden(df)
+    x = x.withColumn("_words", tokens(F.col(name[text])))
+    idf = word_idf(x.select("_words"), vocab)
+    anchors = [rarest(keys, idf, rare) for _, _, keys, _, _ in targets]
+
+    lookup = sorted({w for a in anchors for w in a})
+    listed = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(lookup), F.struct(w.alias("w"), i.alias("i")))), lambda h: h.isNotNull())
+    x = x.withColumn("_hits", F.when(F.arrays_overlap(F.col("_words"), F.expr(listing(lookup))), listed))
 
-def _within(words: list[str], part: list[str]) -> int:
-    return next(i for i in range(len(words)) if words[i : i + len(part)] == part)
+    none = F.array().cast("array<struct<label:string,start:bigint,score:double>>")
+    for column, wanted in (("_base", True), ("_found", False)):
+        parts = [matches_of(t, a, idf) for t, a in zip(targets, anchors) if t[4] == wanted]
+        found = F.expr(f"flatten(array({', '.join(parts)}))") if parts else none
+        x = x.withColumn(column, F.when(F.col("_hits").isNull(), none).otherwise(found))
+    both = F.concat("_base", "_found")
+    return x.select(
+        *[F.col(name[c]).alias(c) for c in own],
+        F.size("_words").cast("long").alias("n_words"), F.col("_base").alias("base_hits"), F.col("_found").alias("matches"),
+        F.array_sort(F.array_distinct(F.transform(both, lambda m: m["label"]))).alias("labels"),
+        F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform(both, lambda m: m["score"])), F.lit(0.0))).alias("score"),
+    )

@@ -62,7 +62,7 @@ def op8_license_scan(spark, sf):
     base = F.array_sort(F.array_distinct(F.transform("base_hits", lambda m: m["label"])))
     return x.select(
         "doc_id", "n_words", F.size("base_hits").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        F.array_join(base, ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+        F.array_join(base, ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), F.round("score", 6).alias("score"),
     )
 
 
