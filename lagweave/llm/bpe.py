@@ -4,12 +4,25 @@ Each Spark partition hands its distinct pre-tokens to a DuckDB of its own. Token
 step of the recursion joins neighbouring tokens with the merge table and contracts, in each word, the leftmost pair of
 least rank, until no pair of a word is in the table. Documents are put together from their words afterwards, so what
 DuckDB holds is bounded by the words of a few megabytes of text, however long or frequent the texts are.
+
+Words of over ZONE_BYTES would take a step for each of their merges. Two things spare them that, without changing any
+result:
+
+- A word is cut where no token of the vocabulary spans the cut, as no merge can cross it. Most pieces are short.
+- A piece that stays long is looked at in zones of three times the length of the longest token in it. The least pair (by
+  rank, then place) of its own and both neighbouring zones comes to be merged whatever happens elsewhere: a merge that
+  takes one of its tokens away, or one that what it becomes would be merged with, has to be made up of pairs within
+  reach, all of which come after it. So the least pairs of all zones are contracted in one step. Pairs of equal rank are
+  contracted together (of overlapping ones every other) if every merge of the new token has a higher rank
+  (merges.settled). Steps then go by the length of tokens, not of words, unless a word is full of equal pairs whose rank
+  is not settled: of those, one that has another within reach before it waits for that one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -46,30 +59,30 @@ WITH RECURSIVE state AS (
 SELECT word, list(tok ORDER BY pos) AS ids FROM state WHERE NOT live GROUP BY word ORDER BY word
 """
 
-# The same for words of over LONG_BYTES, which would take as many steps as they have merges: pairs of the least rank
-# that do not overlap the leftmost one are contracted in the same step where that cannot change the result, that is
-# where no merge that involves the new token has a lower rank (merges.settled), so they would be next in turn.
-LONG_BYTES = 64
+# The same for words of over ZONE_BYTES, which would take as many steps as they have merges. `around` is the least pair
+# (rank, then place) of a pair's zone and its two neighbours, `head` the first of the run of overlapping pairs of equal rank it is in.
+ZONE_BYTES = 64
 ENCODE_LONG = """
 WITH RECURSIVE state AS (
-    SELECT word, pos, tok, true AS live FROM start
+    SELECT word, pos, tok, width, true AS live FROM start
   UNION ALL
-    SELECT word, pos, CASE WHEN taken THEN best ELSE tok END, best IS NOT NULL
+    SELECT word, pos, CASE WHEN taken THEN rank ELSE tok END, width, best IS NOT NULL
     FROM (
       SELECT *, coalesce(lag(taken) OVER (PARTITION BY word ORDER BY pos), false) AS eaten
       FROM (
-        SELECT *, coalesce(hit AND run % 2 = 1 AND (settled OR pos = leftmost), false) AS taken
+        SELECT *, coalesce((hit AND settled AND sure AND (idx - head) % 2 = 0) OR key = around, false) AS taken
         FROM (
-          SELECT *, row_number() OVER (PARTITION BY word, hit, idx - nth ORDER BY pos) AS run,
-                 min(CASE WHEN hit THEN pos END) OVER (PARTITION BY word) AS leftmost
+          SELECT *, first_value(hit) OVER (PARTITION BY word, head ORDER BY idx) AS sure
           FROM (
-            SELECT *, coalesce(rank = best, false) AS hit, row_number() OVER (PARTITION BY word, rank = best ORDER BY pos) AS nth
+            SELECT *, coalesce(rank = around >> 32, false) AS hit, max(CASE WHEN fresh THEN idx END) OVER (PARTITION BY word ORDER BY idx) AS head
             FROM (
-              SELECT p.*, m.rank, m.settled, min(m.rank) OVER (PARTITION BY word) AS best
+              SELECT *, rank IS DISTINCT FROM lag(rank) OVER (PARTITION BY word ORDER BY idx) AS fresh, min(rank) OVER (PARTITION BY word) AS best,
+                     min(key) OVER (PARTITION BY word ORDER BY pos // width RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS around
               FROM (
-                SELECT word, pos, tok, lead(tok) OVER w AS next, row_number() OVER w AS idx
-                FROM state WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)
-              ) p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.next
+                SELECT p.*, m.rank, m.settled, (CAST(m.rank AS BIGINT) << 32) + p.pos AS key
+                FROM (SELECT word, pos, tok, width, lead(tok) OVER w AS next, row_number() OVER w AS idx FROM state WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)) p
+                LEFT JOIN merges m ON m.l = p.tok AND m.r = p.next
+              )
             )
           )
         )
@@ -94,19 +107,54 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({"l": l, "r": r, "rank": rank, "settled": ~np.isin(rank, unsettled)})
 
 
+class Spans:
+    """Where tokens of the vocabulary stand in a word."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.find = ahocorasick.Automaton()
+        for t in ranks:
+            if len(t) > 1:
+                self.find.add_word(t.decode("latin-1"), len(t))
+        self.find.make_automaton()
+
+    def longest(self, raw: bytes) -> np.ndarray:
+        """Length of the longest token of two bytes or more that ends at each byte, 0 without one."""
+        out = np.zeros(len(raw), np.int64)
+        last = -1
+        for end, n in self.find.iter(raw.decode("latin-1")):
+            if end != last:  # the longest comes first
+                out[end], last = n, end
+        return out
+
+    def pieces(self, word: str) -> list[bytes]:
+        """The word's bytes cut wherever no token spans the cut."""
+        raw = word.encode("utf-8")
+        n = self.longest(raw)
+        ends = np.flatnonzero(n)
+        depth = np.zeros(len(raw) + 1, np.int64)  # at byte k: tokens that span the cut before it
+        np.add.at(depth, ends - n[ends] + 2, 1)
+        np.add.at(depth, ends + 1, -1)
+        edges = [0, *(np.flatnonzero(np.cumsum(depth)[1 : len(raw)] == 0) + 1).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(edges[:-1], edges[1:])]
+
+
 class Words(dict):
-    """word -> number; a new word gets the next number and waits in `new` to be coded."""
+    """word (str) or piece of a word (bytes) -> number; a new one gets the next number and waits in `new` to be coded."""
 
     def __init__(self, items=()):
         super().__init__(items)
-        self.new: list[str] = []
+        self.new: list[str | bytes] = []
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
         self[word] = n = len(self)
         self.new.append(word)
         return n
 
 
+def _raw(word: str | bytes) -> bytes:
+    return word.encode("utf-8") if isinstance(word, str) else word
+
+
 class Ragged:
     """Arrays of different lengths end to end, addressed by number."""
 
@@ -133,12 +181,14 @@ class Coder:
     """A DuckDB with the merge table of one vocabulary, and the words that it has coded."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
+        # No folder to spill to: what a query takes is bounded by QUERY_BYTES, or by one word that cannot be cut.
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": "", "preserve_insertion_order": False})
         merges = merge_table(ranks)  # noqa: F841  DuckDB reads it by its name
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         vocab = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab")
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.ranks, self.spans = ranks, Spans(ranks)
         self.words, self.ids, self.bytes, self.uses = Words(), Ragged(np.int32), Ragged(np.uint8), np.empty(0, np.int64)
 
     def learn(self) -> None:
@@ -146,30 +196,35 @@ class Coder:
         for long in (False, True):
             batch, size = [], 0
             for w in self.words.new:
-                n = len(w.encode("utf-8"))
-                if (n > LONG_BYTES) != long:
+                n = len(_raw(w))
+                if (n > ZONE_BYTES) != long:
                     continue
-                batch.append(w)
-                size += n
-                if size >= QUERY_BYTES:
+                if batch and size + n > QUERY_BYTES:
                     self._learn(batch, ENCODE_LONG if long else ENCODE)
                     batch, size = [], 0
+                batch.append(w)
+                size += n
             if batch:
                 self._learn(batch, ENCODE_LONG if long else ENCODE)
         self.words.new = []
 
-    def _learn(self, words: list[str], query: str) -> None:
-        raw = [w.encode("utf-8") for w in words]
+    def _learn(self, words: list[str | bytes], query: str) -> None:
+        raw = [_raw(w) for w in words]
         lengths = np.array([len(b) for b in raw])
+        width = np.array([len(b) if query is ENCODE else 3 * max(1, int(self.spans.longest(b).max())) for b in raw], dtype=np.int32)
         first = np.cumsum(lengths) - lengths
         start = pa.table({  # noqa: F841
             "word": np.repeat(np.arange(len(raw), dtype=np.int32), lengths),
             "pos": (np.arange(lengths.sum()) - np.repeat(first, lengths)).astype(np.int32),
             "tok": self.byte[np.frombuffer(b"".join(raw), dtype=np.uint8)],
+            "width": np.repeat(width, lengths),
         })
         coded = self.db.sql(query).to_arrow_table()  # DECODE reads it
         decoded = [bytes.fromhex(h) for h in self.db.sql(DECODE).to_arrow_table()["hex"].to_pylist()]
         ids = coded["ids"].combine_chunks()
+        whole = [len(i) > 1 and isinstance(w, str) and b in self.ranks for i, w, b in zip(ids, words, raw)]
+        if any(whole):  # the library takes a word that is a token as it is, though no merges may lead there
+            ids = pa.array([[self.ranks[b]] if w else i.as_py() for w, i, b in zip(whole, ids, raw)], pa.list_(pa.int32()))
         numbers = np.array([self.words[w] for w in words])
         self.ids.append(numbers, ids.values.to_numpy(), np.diff(ids.offsets.to_numpy()))
         self.bytes.append(numbers, np.frombuffer(b"".join(decoded), dtype=np.uint8), np.array([len(d) for d in decoded]))
@@ -189,10 +244,15 @@ class Coder:
             setattr(self, name, new)
         self.uses = self.uses[kept] // 2
 
+    def cut(self, words: list[str]) -> list[str | bytes]:
+        if max(map(len, words), default=0) <= ZONE_BYTES:
+            return words
+        return [p for w in words for p in (self.spans.pieces(w) if len(w) > ZONE_BYTES else [w])]
+
     def code(self, split, texts: list[str]) -> tuple[pa.Array, pa.Array]:
         """(ids as lists, decoded as binary) of the texts."""
         self.forget()
-        numbers = [np.fromiter(map(self.words.__getitem__, split(t)), np.int64) for t in texts]
+        numbers = [np.fromiter(map(self.words.__getitem__, self.cut(split(t))), np.int64) for t in texts]
         self.learn()
         every = np.concatenate(numbers)
         used = np.bincount(every, minlength=len(self.words))
