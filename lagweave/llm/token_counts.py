@@ -2,7 +2,8 @@
 
 The best segmentation of a prefix does not depend on what follows, so all pre-tokens that begin alike share the
 forward scores of that beginning: each node of the trie gets its score once, when it is made, from the scores along
-its path. A pre-token's count then stands at the node where it ends.
+its path. A pre-token's count then stands at the node where it ends. A worker's memory is bounded by MAX_NODES, by
+REMEMBERED_BYTES and by the pre-tokens of one chunk of text, however many or long the pre-tokens are.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from lagweave.llm.pretokens import Splitter, foreign_characters, read_ranks
 from lagweave.plans.ship import ship
 
 CHUNK_CHARS = 1_000_000
-#: Nodes that a worker keeps; beyond it, it starts a new trie.
+#: Nodes that a trie has at most: a worker starts a new one when it is full. The rest of a word that does not fit any
+#: more is scored all the same, on a path that is not kept.
 MAX_NODES = 1_500_000
-#: Pre-tokens longer than this are scored on a path of their own, which is dropped afterwards.
-MAX_DEPTH = 256
+#: Bytes of pre-tokens whose counts a worker remembers.
+REMEMBERED_BYTES = 30_000_000
 
 
 def zipf_scores(ranks: dict[bytes, int]) -> dict[bytes, float]:
@@ -37,13 +39,17 @@ class Trie:
     Of segmentations of equal score the one with fewer tokens counts.
     """
 
-    def __init__(self, scores: dict[bytes, float]):
-        self.scores = scores
+    def __init__(self, scores: dict[bytes, float], room: int = MAX_NODES):
+        self.scores, self.room = scores, room
         self.longest = max(map(len, scores))
-        self.children: list[dict[int, int]] = [{}]
+        self.child: dict[int, int] = {}  # node * 256 + byte -> node
         self.score = [0.0]
         self.count = [0]
 
+    @property
+    def full(self) -> bool:
+        return len(self.score) >= self.room
+
     def step(self, path: bytes, end: int, scores: list[float], counts: list[int]) -> tuple[float, int]:
         """(score, count) of path[:end] from those of its prefixes."""
         best, least = -math.inf, 0
@@ -57,28 +63,41 @@ class Trie:
     def insert(self, word: bytes) -> tuple[float, int]:
         """Score and token count of the word; nodes that it shares with earlier words are not scored again."""
         scores, counts = [0.0], [0]
-        if len(word) > MAX_DEPTH:
-            for end in range(1, len(word) + 1):
-                s, n = self.step(word, end, scores, counts)
-                scores.append(s)
-                counts.append(n)
-            return scores[-1], counts[-1]
-        node = 0
+        node = 0  # -1 beyond the last node that is kept
         for end, b in enumerate(word, 1):
-            child = self.children[node].get(b)
-            if child is None:
-                child = self.children[node][b] = len(self.children)
+            at = node * 256 + b
+            node = self.child.get(at, -1) if node >= 0 else -1
+            if node >= 0:
+                s, n = self.score[node], self.count[node]
+            else:
                 s, n = self.step(word, end, scores, counts)
-                self.children.append({})
-                self.score.append(s)
-                self.count.append(n)
-            node = child
-            scores.append(self.score[node])
-            counts.append(self.count[node])
-        return self.score[node], self.count[node]
+                if at >= 0 and not self.full:
+                    node = self.child[at] = len(self.score)
+                    self.score.append(s)
+                    self.count.append(n)
+            scores.append(s)
+            counts.append(n)
+        return scores[-1], counts[-1]
+
+
+class Known(dict):
+    """word -> (score, count) of the words of a chunk of text, and of earlier ones as far as there is room."""
+
+    def __init__(self):
+        self.size = 0
+
+    def learn(self, word: str, trie: Trie) -> None:
+        raw = word.encode("utf-8")
+        self[word] = trie.insert(raw)
+        self.size += len(raw)
+
+    def forget(self) -> None:
+        if self.size > REMEMBERED_BYTES:
+            self.clear()
+            self.size = 0
 
 
-_TRIES: dict[int, tuple[Trie, dict]] = {}
+_TRIES: dict[int, tuple[Trie, Known]] = {}
 remembers(_TRIES.clear)
 
 
@@ -99,14 +118,15 @@ def count_tokens(df: DataFrame, scores: dict[bytes, float], pattern: str, doc_id
         claim("token_counts")
         key, scores, split = shared.value
         for ids, texts in chunks(batches, CHUNK_CHARS):
-            if key not in _TRIES or len(_TRIES[key][0].children) > MAX_NODES:
+            if key not in _TRIES or _TRIES[key][0].full:
                 _TRIES.clear()
-                _TRIES[key] = (Trie(scores), {})
+                _TRIES[key] = (Trie(scores), Known())
             trie, known = _TRIES[key]
+            known.forget()
             words = [split(t) for t in texts]
             for w in dict.fromkeys(w for ws in words for w in ws):
                 if w not in known:
-                    known[w] = trie.insert(w.encode("utf-8"))
+                    known.learn(w, trie)
             rows = [[known[w] for w in ws] for ws in words]
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, type=id_type(kind)), pa.array([len(t.encode("utf-8")) for t in texts], pa.int64()), pa.array([len(r) for r in rows], pa.int64()),
@@ -118,4 +138,5 @@ def count_tokens(df: DataFrame, scores: dict[bytes, float], pattern: str, doc_id
 
 
 def count_with_ranks(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """count_tokens with the scores of zipf_scores over the rank file; rows are treated as there."""
     return count_tokens(df, zipf_scores(read_ranks(path)), pattern, doc_id, text)
