@@ -14,10 +14,13 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; one of its own only where it names none."""
+    """The folder that all executors share, as the session names it; one of its own only in local mode, if it names none."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -96,6 +99,12 @@ def where_computed(df: DataFrame, flag: str) -> DataFrame:
 # Bitmaps of repeated keys. A bitmap of 2**bits bits is at most that many bits in size whatever the input, so it
 # can be broadcast; a key that is not in it is certainly not repeated, one that is may be a chance collision.
 BITMAP_BITS = 24
+MOST_BITS = 28
+
+
+def bits_for(keys: int) -> int:
+    """Bits by which the bitmap of so many keys is at most a sixteenth full, within fixed bounds (2 to 32 MB)."""
+    return min(MOST_BITS, max(BITMAP_BITS, (16 * keys).bit_length()))
 
 
 def repeated_bitmap(counts: DataFrame, key: Column, bits: int = BITMAP_BITS) -> DataFrame:
