@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.llm.common import SPACES, cut, maybe_repeated, repeated_bitmap
+from lagweave.llm.common import SPACES, bits_for, cut, hidden, maybe_repeated, repeated_bitmap
 
 WINDOW = 3
 #: Keys that hold over 1/HEAVY of all repeated windows are at most HEAVY in number, and so can be broadcast.
 HEAVY = 512
+RESULTS = ("n_lines", "n_removed", "removed")
 
 
 def _windows(df: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
@@ -34,17 +35,19 @@ def _windows(df: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
 def later_windows(df: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     """(_id, _th, _a, _b) of all occurrences but the first.
 
-    Counting reduces to one row per key and task before the shuffle. Only windows whose key a bitmap of fixed size
-    says may be repeated travel a second time; those of the heaviest keys meet the keys' first occurrence by broadcast.
+    Windows are made once and written without their lines. Counting reduces to one row per key and task before the
+    shuffle. Only windows whose key a bitmap of bounded size says may be repeated travel a second time; those of the
+    heaviest keys meet the keys' first occurrence by broadcast.
     """
-    w = _windows(df, doc_id, text, size)
+    w = cut(_windows(df, doc_id, text, size))
     place = F.struct("_id", "_th", "_k")
     firsts = cut(w.groupBy("_key").agg(F.count("*").alias("n"), F.min(place).alias("_first")).where("n > 1"))
     total = firsts.agg(F.sum("n").alias("_all"))
     heavy = firsts.join(F.broadcast(total), F.col("n") * HEAVY > F.col("_all")).select("_key", F.col("_first").alias("_heavy"))
     light = firsts.join(heavy, "_key", "left_anti").select("_key", "_first")
 
-    again = maybe_repeated(w, F.col("_key"), repeated_bitmap(firsts, F.col("_key")), "_maybe").where("_maybe")
+    bits = bits_for(firsts.count())
+    again = maybe_repeated(w, F.col("_key"), repeated_bitmap(firsts, F.col("_key"), bits), "_maybe", bits).where("_maybe")
     again = again.join(F.broadcast(heavy), "_key", "left")
     a = again.where(F.col("_heavy").isNotNull()).withColumn("_first", F.col("_heavy"))
     b = again.where(F.col("_heavy").isNull()).join(light, "_key")
@@ -63,16 +66,19 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     """df with its text cut, n_lines (before), n_removed and removed (start, end structs of lines, counted from 0).
 
     A null text stays null and has one empty line; a text of fewer than three lines with words stays as it is. Rows
-    that repeat both id and text count as one document, so neither is cut on the other's account. Columns of df of
-    these names are replaced, others passed on. Texts without a removal do not travel.
+    that repeat both id and text count as one document, so neither is cut on the other's account. A null id counts as
+    least. An empty table gives an empty result. Columns of df of these names are replaced, others passed on, whatever
+    their names. Texts without a removal do not travel.
     """
-    own = [c for c in df.columns if c not in ("n_lines", "n_removed", "removed")]
+    own = [c for c in df.columns if c.lower() not in RESULTS]
+    df, name = hidden(df)
+    doc_id, text = name[doc_id], name[text]
     later = later_windows(df, doc_id, text, size)
     cuts = cut(later.groupBy("_id", "_th").agg(F.array_sort(F.collect_set(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b")))).alias("_s")).withColumn("_spans", _merged(F.col("_s"))).drop("_s"))
     key = F.struct("_id", "_th")
     touched = repeated_bitmap(cuts.withColumn("n", F.lit(2)), key)
 
-    x = df.select(*[F.col(f"`{c}`") for c in own]).withColumn("_id", F.col(f"`{doc_id}`")).withColumn("_th", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    x = df.withColumn("_id", F.col(f"`{doc_id}`")).withColumn("_th", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     x = maybe_repeated(x, key, touched, "_maybe")
     hit = x.where("_maybe").withColumnsRenamed({"_id": "_i", "_th": "_t"}).join(cuts, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left").drop("_id", "_th").withColumnsRenamed({"_i": "_id", "_t": "_th"})
     none = F.array().cast("array<struct<start:int,end:int>>")
@@ -89,4 +95,4 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     y = y.withColumn("n_lines", n.cast("long"))
     y = y.withColumn("n_removed", F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"] + 1))
     y = y.withColumn(text, F.when(spans > 0, kept).otherwise(F.col(f"`{text}`")))
-    return y.select(*[F.col(f"`{c}`") for c in own], "n_lines", "n_removed", F.col("_spans").alias("removed"))
+    return y.select(*[F.col(name[c]).alias(c) for c in own], "n_lines", "n_removed", F.col("_spans").alias("removed"))
