@@ -16,13 +16,14 @@ def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
 
 
 #: Second-level names of hosts that were labelled as unwanted by hand; every other URL of the table is labelled as wanted.
-LABELLED_BAD = ("casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills")
+LABELLED_BAD = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 URL_RULES = [url_filter.UrlRule(*r) for r in (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))]
 
 
 def labelled_urls(pages: DataFrame) -> DataFrame:
-    name = F.try_element_at(F.split(url_filter.host_of(F.col("url")), r"\."), F.lit(-3))
-    return pages.select("url", F.coalesce(name.isin(*LABELLED_BAD), F.lit(False)).cast("int").alias("label"))
+    """(url, label, name): name is the second-level name of the host, empty without one."""
+    name = F.coalesce(F.try_element_at(F.split(url_filter.host_of(F.col("url")), r"\."), F.lit(-3)), F.lit(""))
+    return pages.select("url", name.isin(*LABELLED_BAD).cast("int").alias("label"), name.alias("name"))
 
 
 def op1_url_filter(spark, sf):

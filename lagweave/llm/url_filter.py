@@ -14,6 +14,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lagweave.llm.common import hidden
+
+RESULTS = ("host", "path", "rule", "score", "verdict")
 #: URLs that training reads at most, those with the least hash of each label, half of either label.
 TRAIN_ROWS = 20_000
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-._~/?#&=%+:@"
@@ -60,11 +63,12 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
     """Lexical features; none of them looks a host up. All are 0 or 1-like for an empty URL, never null."""
     u = F.coalesce(url, F.lit(""))
     n = F.length(u)
-    per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    # Rounded, so that a value that is also a threshold of the trees does not depend on the last bit.
+    per = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(F.lit(0.0)), 6)
     count = lambda text, pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
     low = F.lower(u)
-    shares = [per((n - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double"), n) for c in ALPHABET]
-    entropy = reduce(lambda a, b: a + b, [F.when(p > 0, -p * F.log2(p)).otherwise(0.0) for p in shares])
+    shares = [(n - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") / F.greatest(n, F.lit(1)) for c in ALPHABET]
+    entropy = F.round(reduce(lambda a, b: a + b, [F.when(p > 0, -p * F.log2(p)).otherwise(0.0) for p in shares]), 6)
     query = F.regexp_extract(u, r"(?s)\?([^#]*)", 1)
     return {
         "length": n.cast("double"), "host_length": F.length(host).cast("double"), "path_length": F.length(path).cast("double"),
@@ -182,8 +186,14 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Boosted:
 
 
 def score(df: DataFrame, model: Boosted, url: str = "url") -> DataFrame:
-    """df with _host, _path and the column score: the probability that the URL is unwanted."""
-    x, names = prepared(df, url)
+    """df with host, path and score: the probability that the URL is unwanted.
+
+    Columns of df of these names are replaced, others passed on, whatever their names. A null URL is scored as an
+    empty one; repeated rows are scored alike; an empty table gives an empty result.
+    """
+    own = [c for c in df.columns if c.lower() not in ("host", "path", "score")]
+    x, name = hidden(df)
+    x, names = prepared(x, name[url])
     default = model.suffixes.get("", 0.0)
     table = [(k, v) for k, v in model.suffixes.items() if k]
     if table:
@@ -192,17 +202,31 @@ def score(df: DataFrame, model: Boosted, url: str = "url") -> DataFrame:
     else:
         x = x.withColumn("_odds", F.lit(default))
     x = x.withColumn(f"_f{len(names)}", F.coalesce("_odds", F.lit(default)))
-    x = x.withColumn("score", 1 / (1 + F.exp(-model.expression([f"_f{k}" for k in range(len(names) + 1)]))))
-    return x.drop("_suffix", "_odds", *[f"_f{k}" for k in range(len(names) + 1)])
+    score = 1 / (1 + F.exp(-model.expression([f"_f{k}" for k in range(len(names) + 1)])))
+    return x.select(*[F.col(name[c]).alias(c) for c in own], F.col("_host").alias("host"), F.col("_path").alias("path"), score.alias("score"))
 
 
 def judge(df: DataFrame, rules: list[UrlRule], model: Boosted, url: str = "url", threshold: float = 0.5) -> DataFrame:
     """df with host, path, rule, score and verdict (allow or block): the rule's, else block where score >= threshold.
 
     A null URL, or one without ://, has empty host and path, fits no rule, and is scored as the text it is (null:
-    empty). Repeated rows are judged alike; extra columns are passed on, those of the five names replaced.
+    empty). Repeated rows are judged alike; an empty table gives an empty result; extra columns are passed on, those of
+    the five names replaced. URLs may be of any length.
     """
-    x = score(df.drop("host", "path", "rule", "score", "verdict"), model, url).withColumnsRenamed({"_host": "host", "_path": "path"})
+    x = score(df.drop(*[c for c in df.columns if c.lower() in RESULTS]), model, url)
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("score") >= threshold, "block").otherwise("allow")
     return x.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, own))
+
+
+def held_out(labelled: DataFrame, group: str, folds: int, rows: int = TRAIN_ROWS) -> list[tuple[int, int, int, int]]:
+    """(wanted URLs, of them blocked, unwanted URLs, of them blocked) for each fold, judged by a model that saw no URL
+    of the fold's groups. labelled has (url, label) and the group; the groups go by hash to the folds."""
+    x = labelled.withColumn("_fold", F.pmod(F.xxhash64(group), F.lit(folds)))
+    out = []
+    for k in range(folds):
+        scored = score(x.where(F.col("_fold") == k), train(x.where(F.col("_fold") != k), rows))
+        hit = (F.col("score") >= 0.5).cast("long")
+        bad = F.col("label") == 1
+        out.append(tuple(int(v or 0) for v in scored.agg(F.sum((~bad).cast("long")), F.sum(F.when(~bad, hit)), F.sum(bad.cast("long")), F.sum(F.when(bad, hit))).first()))
+    return out
