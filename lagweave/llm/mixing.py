@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lagweave.llm.common import cut
+from lagweave.llm.common import cut, hidden
 from lagweave.plans.ship import ship
 
 #: Documents of a block, about, and leftovers that meet at a node of the tree.
 BLOCK = 4096
 FAN_IN = 64
-#: Sources up to which their targets are broadcast; beyond it they are joined.
+#: Sources up to which their targets are broadcast; beyond it they are joined, by keys that are spread, with the same rows.
 BROADCAST_SOURCES = 50_000
 MAX_COPIES = 3
 
@@ -41,11 +41,15 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap
     weight = [float(w) for w in weights]
     ranked = cut(spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], weight[x[1] % len(weight)])), kind))
     total = float(ranked.agg(F.sum("_source_size")).first()[0] or 0)
-    level, before = 0.0, -1.0
-    while level != before:
-        full = (F.col("_source_size") * cap <= F.col("_weight") * level) if before >= 0 else F.lit(False)
-        capped, free = ranked.agg(F.sum(F.when(full, F.col("_source_size") * cap).otherwise(0.0)), F.sum(F.when(~full, F.col("_weight")).otherwise(0.0))).first()
-        level, before = ((total - capped) / free if free else level), level
+    # A source that is full stays so, as the level only rises: it is found once no further source gets full.
+    level, before = 0.0, -1
+    while True:
+        full = F.col("_source_size") * cap <= F.col("_weight") * level
+        n, capped, free = ranked.agg(F.coalesce(F.sum(full.cast("int")), F.lit(0)), F.sum(F.when(full, F.col("_source_size") * cap).otherwise(0.0)), F.sum(F.when(~full, F.col("_weight")).otherwise(0.0))).first()
+        if n == before:
+            break
+        before = n
+        level = (total - capped) / free if free else level
     return ranked.select("_source", "_n", "_source_size", F.least(F.col("_weight") * level, F.col("_source_size") * cap).alias("_target"))
 
 
@@ -130,11 +134,18 @@ def mix_counts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of df, each as often as the mix takes it. Rows equal in id and text share their copies."""
-    counts = mix_counts(df, doc_id, text, source, **options).groupBy("_id", "_th").agg(F.sum("copies").alias("_copies"))
-    x = df.withColumn("_th", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))).withColumn("_i", F.coalesce(F.xxhash64(F.col(f"`{doc_id}`")), F.lit(0)))
+    """The rows of df, each as often as the mix takes it, with df's columns, whatever their names.
+
+    Rows equal in id and text share their copies: one of them, the first by its other columns as JSON, stands for all.
+    Nulls, empty texts and empty tables are as in mix_counts.
+    """
+    x, name = hidden(df)
+    doc_id, text, source = name[doc_id], name[text], name[source]
+    counts = mix_counts(x, doc_id, text, source, **options).groupBy("_id", "_th").agg(F.sum("copies").alias("_copies"))
+    x = x.withColumn("_th", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("_i", F.coalesce(F.xxhash64(F.col(doc_id)), F.lit(0)))
     counts = counts.where("_copies > 0").select(F.coalesce(F.xxhash64("_id"), F.lit(0)).alias("_i"), "_th", "_copies", F.col("_id").alias("_same"))
-    joined = x.join(counts, ["_i", "_th"]).where(F.col(f"`{doc_id}`").eqNullSafe(F.col("_same")))
-    first = F.row_number().over(Window.partitionBy("_i", "_th").orderBy("_same")) == 1
+    joined = x.join(counts, ["_i", "_th"]).where(F.col(doc_id).eqNullSafe(F.col("_same")))
+    others = [F.col(c) for c in name.values() if c not in (doc_id, text)]
+    first = F.row_number().over(Window.partitionBy("_i", "_th").orderBy("_same", F.to_json(F.struct(*others)) if others else F.lit(0))) == 1
     once = joined.withColumn("_first", first).where("_first")
-    return once.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    return once.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*name.values()).toDF(*df.columns)
