@@ -59,34 +59,58 @@ class Ordinal:
         return float(sum(self.weights[w] * np.log1p(n) for w, n in sorted(counts.items()) if w in self.weights))
 
 
-def fit(rows: list[dict[str, int]], grades: np.ndarray, vocabulary: list[str], ridge: float = 0.1, steps: int = 400) -> Ordinal:
-    """Maximum likelihood with a ridge on the weights, by full-batch Adam. The same rows give the same model."""
-    index = {w: k for k, w in enumerate(vocabulary)}
-    r = np.array([i for i, c in enumerate(rows) for w in c if w in index], dtype=int)
-    c = np.array([index[w] for x in rows for w in x if w in index], dtype=int)
-    v = np.log1p(np.array([n for x in rows for w, n in x.items() if w in index], dtype=float))
-    n, top = len(rows), int(grades.max()) if len(grades) else 0
-    top = max(top, 1)
-    # beta: weights, then the lowest cut, then logs of the steps between cuts
-    beta = np.concatenate([np.zeros(len(vocabulary)), [0.0], np.zeros(top - 1)])
-    m, s = np.zeros_like(beta), np.zeros_like(beta)
-    for t in range(1, steps + 1):
-        gaps = np.exp(beta[len(vocabulary) + 1 :])
-        cuts = beta[len(vocabulary)] + np.concatenate([[0.0], np.cumsum(gaps)])
-        z = np.bincount(r, weights=v * beta[c], minlength=n)[:n]
-        up = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(-(z[:, None] - cuts))), np.zeros((n, 1))], axis=1)
-        p = np.maximum(up[np.arange(n), grades] - up[np.arange(n), grades + 1], 1e-9)
+@dataclass
+class Sample:
+    """Documents as sparse rows: value v of word c in document r; grades by document; how many words there are."""
+
+    r: np.ndarray
+    c: np.ndarray
+    v: np.ndarray
+    grades: np.ndarray
+    words: int
+
+    def likelihood(self, beta: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+        """Log-likelihood less the ridge on the weights, and its gradient.
+
+        beta holds the weights, then the lowest cut, then the logs of the steps between cuts, so cuts always rise.
+        """
+        n, k, top = len(self.grades), self.words, len(beta) - self.words
+        rows = np.arange(n)
+        gaps = np.exp(beta[k + 1 :])
+        cuts = beta[k] + np.concatenate([[0.0], np.cumsum(gaps)])
+        z = np.bincount(self.r, weights=self.v * beta[self.c], minlength=n)[:n]
+        up = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(-(z[:, None] - cuts))), np.zeros((n, 1))], axis=1)  # P(grade >= j)
+        p = np.maximum(up[rows, self.grades] - up[rows, self.grades + 1], 1e-9)
         slope = up * (1 - up)
-        lo, hi = slope[np.arange(n), grades], slope[np.arange(n), grades + 1]
+        lo, hi = slope[rows, self.grades], slope[rows, self.grades + 1]
         dz = (lo - hi) / p
         dcut = np.zeros((n, top + 2))
-        dcut[np.arange(n), grades] -= lo / p
-        dcut[np.arange(n), grades + 1] += hi / p
+        dcut[rows, self.grades] -= lo / p
+        dcut[rows, self.grades + 1] += hi / p
         dcut = dcut[:, 1 : top + 1].sum(axis=0)
-        grad = np.concatenate([np.bincount(c, weights=v * dz[r], minlength=len(vocabulary)) - ridge * beta[: len(vocabulary)], [dcut.sum()], [gaps[k] * dcut[k + 1 :].sum() for k in range(top - 1)]])
+        weights = np.bincount(self.c, weights=self.v * dz[self.r], minlength=k) - ridge * beta[:k]
+        steps = [gaps[j] * dcut[j + 1 :].sum() for j in range(top - 1)]
+        return float(np.log(p).sum() - ridge / 2 * (beta[:k] ** 2).sum()), np.concatenate([weights, [dcut.sum()], steps])
+
+
+def sparse(rows: list[dict[str, int]], grades: np.ndarray, vocabulary: list[str]) -> Sample:
+    index = {w: k for k, w in enumerate(vocabulary)}
+    found = [(i, index[w], n) for i, x in enumerate(rows) for w, n in x.items() if w in index]
+    r, c, n = (np.array([f[k] for f in found], dtype=int) for k in range(3))
+    return Sample(r, c, np.log1p(n.astype(float)), grades, len(vocabulary))
+
+
+def fit(rows: list[dict[str, int]], grades: np.ndarray, vocabulary: list[str], ridge: float = 0.1, steps: int = 400) -> Ordinal:
+    """Maximum likelihood with a ridge on the weights, by full-batch Adam. The same rows give the same model."""
+    sample, k = sparse(rows, grades, vocabulary), len(vocabulary)
+    top = max(int(grades.max()) if len(grades) else 0, 1)
+    beta = np.zeros(k + top)
+    m, s = np.zeros_like(beta), np.zeros_like(beta)
+    for t in range(1, steps + 1):
+        _, grad = sample.likelihood(beta, ridge)
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad * grad
         beta = beta + 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
-    cuts = beta[len(vocabulary)] + np.concatenate([[0.0], np.cumsum(np.exp(beta[len(vocabulary) + 1 :]))])
+    cuts = beta[k] + np.concatenate([[0.0], np.cumsum(np.exp(beta[k + 1 :]))])
     return Ordinal({w: float(b) for w, b in zip(vocabulary, beta)}, [float(x) for x in cuts])
 
 
