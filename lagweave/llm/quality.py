@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.llm.common import SPACE_RUN, SPACES, where_computed, words_of
+from lagweave.llm.common import SPACE_RUN, SPACES, hidden, where_computed, words_of
 
 WINDOW = 5
 
@@ -56,11 +56,17 @@ RULES = (
 )
 
 
+METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "repeat_pct", "symbols_per_word", "mean_word_length", "stop_word_share", "dup_line_share")
+
+
 def metrics(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the metrics. Columns of df that bear the name of a metric are replaced."""
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    """df with the METRICS. Columns of df that bear the name of a metric are replaced, others passed on, whatever their
+    names. A null text has no words and no lines; a ratio to none is null."""
+    own = [c for c in df.columns if c.lower() not in METRICS]
+    x, name = hidden(df)
+    t = F.coalesce(F.col(name[text]), F.lit(""))
     has_word = lambda line: F.btrim(line, F.lit(SPACES)) != ""
-    x = df.withColumn("_words", words_of(F.col(f"`{text}`"))).withColumn("_lines", F.filter(F.split(t, "\n"), has_word))
+    x = x.withColumn("_words", words_of(F.col(name[text]))).withColumn("_lines", F.filter(F.split(t, "\n"), has_word))
     x = x.withColumn("n_words", F.size("_words").cast("long"))
     x = x.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     ahead = [lambda i, k=k: F.get(F.col("_hashes"), i + k) for k in range(1, WINDOW)]
@@ -85,7 +91,7 @@ def metrics(df: DataFrame, text: str = "text") -> DataFrame:
         "stop_word_share": ratio(F.col("n_stop_words"), F.col("n_words")),
         "dup_line_share": ratio(F.col("n_dup_lines"), F.size("_lines")),
     })
-    return x.drop("_words", "_lines", "_hashes", "_windows", "_sorted", "_at")
+    return x.select(*[F.col(name[c]).alias(c) for c in own], *METRICS)
 
 
 def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
