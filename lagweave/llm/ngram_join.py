@@ -38,8 +38,12 @@ SHINGLE = 5
 FIRST_BAND, BAND_RATIO = 64, 16
 #: Bits of the smallest sketch.
 SKETCH_BITS = 1024
-#: Sets of one list that are compared in one task; longer lists are compared block against block.
+#: Sets of one list that are compared in one task at most, and bytes of their sketches, about; longer lists are compared
+#: block against block.
 LIST_BLOCK = 16_384
+LIST_BYTES = 32_000_000
+#: A key's highest bits hold its band.
+BAND_BITS = 4
 #: Words whose hash a worker remembers.
 REMEMBERED = 300_000
 
@@ -120,10 +124,18 @@ def keys(s: np.ndarray) -> np.ndarray:
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             parts = np.bitwise_xor.reduceat(s[order], first) ^ mix(part[first])
         parts = mix(parts ^ salt)
-        out.append(np.partition(parts, d)[: d + 1] if len(parts) > d + 1 else parts)
+        least = np.partition(parts, d)[: d + 1] if len(parts) > d + 1 else parts
+        out.append((least >> np.uint64(BAND_BITS)) | np.uint64(band << (64 - BAND_BITS)))
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
+def block_of(key: int) -> int:
+    """Sets that a block of a key's list has at most: none of them is larger than the key's band, nor is its sketch."""
+    band = (int(key) >> (64 - BAND_BITS)) & ((1 << BAND_BITS) - 1)
+    sketch = max(SKETCH_BITS, 1 << (top_of(band) - 1).bit_length()) // 8
+    return min(LIST_BLOCK, max(2, LIST_BYTES // sketch))
+
+
 def _columns(df: DataFrame, doc_id: str, text: str):
     x = df.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
     return x, x.schema["_id"].dataType
@@ -176,13 +188,13 @@ def key_table(df: DataFrame, text: str = "text") -> DataFrame:
     return x.mapInArrow(run, "key long, sid long")
 
 
-def grouped(batches, n_columns: int) -> Iterator[tuple]:
+def grouped(batches, n_columns: int, block=lambda key: LIST_BLOCK) -> Iterator[tuple]:
     """Columns of each run of equal values in column 0, over batches sorted by it, as numpy arrays (or lists for other types).
 
-    Runs may cross batches. A run of more than LIST_BLOCK rows comes in several pieces, numbered by the last item.
+    Runs may cross batches. A run of more than block(key) rows comes in several pieces, numbered by the last item.
     """
     held: list[list] = [[] for _ in range(n_columns)]
-    piece, current = 0, None
+    piece, current, room = 0, None, 0
 
     def columns(b):
         return [c.to_numpy(zero_copy_only=False) for c in b.columns[:n_columns]]
@@ -197,11 +209,14 @@ def grouped(batches, n_columns: int) -> Iterator[tuple]:
             if current is None or key[lo] != current:
                 if held[0]:
                     yield (*[np.concatenate(h) for h in held], piece)
-                held, piece, current = [[] for _ in range(n_columns)], 0, key[lo]
-            for at in range(lo, hi, LIST_BLOCK):
+                held, piece, current, room = [[] for _ in range(n_columns)], 0, key[lo], block(key[lo])
+            at = lo
+            while at < hi:
+                upto = min(hi, at + room - sum(map(len, held[0])))
                 for h, c in zip(held, cols):
-                    h.append(c[at : min(hi, at + LIST_BLOCK)])
-                if sum(map(len, held[0])) >= LIST_BLOCK:
+                    h.append(c[at:upto])
+                at = upto
+                if sum(map(len, held[0])) >= room:
                     yield (*[np.concatenate(h) for h in held], piece)
                     held, piece = [[] for _ in range(n_columns)], piece + 1
     if held[0]:
@@ -281,7 +296,7 @@ def _pairs_only(batches):
             yield pa.RecordBatch.from_arrays([pa.array(carry[0]), pa.array(carry[1])], names=["key", "sid"])
 
     before = None
-    for x in grouped(slim(), 2):
+    for x in grouped(slim(), 2, block_of):
         if before is not None:
             whole = before[-1] == 0 and int(x[0][0]) != int(before[0][0])
             yield (before[0], before[1], -1 if whole else before[2])
