@@ -69,7 +69,8 @@ def ccm_naive_trials(lib: DataFrame, target: DataFrame, samples: DataFrame, E: i
 
 
 def ccm_kernel(spark, lib: np.ndarray, target: np.ndarray, drawn: list[tuple[int, int, list[int]]], E: int, tau: int = 1, Tp: int = 0, keep: int | None = None, by_row: bool = False) -> DataFrame:
-    """(lib_size, trial, rho): a task takes some trials and shares one ranking of distances among them.
+    """(lib_size, trial, rho): a task takes some trials and shares one ranking of distances among them, a block of rows
+    at a time, so that memory does not grow with the square of the series.
 
     by_row: samples are library rows (the naive form) rather than time steps.
     """
@@ -86,23 +87,26 @@ def ccm_kernel(spark, lib: np.ndarray, target: np.ndarray, drawn: list[tuple[int
     def run(batches):
         x, y = shared.value
         vectors = K.delay_matrix(x, E, tau)
-        dist = rows = None
         for pdf in batches:
-            if rows is None:
-                dist, rows = K.neighbours(vectors, vectors[:n_lib], k)
-            at = rows + (0 if by_row else span + Tp)
-            out = []
-            for size, trial, picked in pdf.itertuples(index=False):
-                sampled = np.zeros(len(x), dtype=bool)
-                sampled[np.asarray(picked, dtype=int)] = True
-                hit = sampled[at]
-                place = np.where(hit, np.cumsum(hit, axis=1), 0)
-                d = np.full((len(vectors), E + 1), K.FLT_MAX)
-                idx = np.zeros((len(vectors), E + 1), dtype=int)
-                r, c = np.nonzero((place > 0) & (place <= E + 1))
-                d[r, place[r, c] - 1] = dist[r, c]
-                idx[r, place[r, c] - 1] = rows[r, c] + span + Tp
-                out.append((size, trial, K.correlation((K.weights(d) * y[idx]).sum(axis=1), y[span + Tp :])))
-            yield pd.DataFrame(out, columns=["lib_size", "trial", "rho"]).astype({"lib_size": "int32", "trial": "int32"})
+            masks = np.zeros((len(pdf), len(x)), dtype=bool)
+            for mask, picked in zip(masks, pdf["picked"]):
+                mask[np.asarray(picked, dtype=int)] = True
+            pred = np.empty((len(pdf), len(vectors)))
+            step = max(1, K.BLOCK_CELLS // max(1, n_lib))
+            for lo in range(0, len(vectors), step):  # a block of rows is ranked once, for all trials
+                part = vectors[lo : lo + step]
+                dist, rows = K.neighbours(part, vectors[:n_lib], k)
+                at = rows + (0 if by_row else span + Tp)
+                for mask, out in zip(masks, pred):
+                    hit = mask[at]
+                    place = np.where(hit, np.cumsum(hit, axis=1), 0)
+                    d = np.full((len(part), E + 1), K.FLT_MAX)
+                    idx = np.zeros((len(part), E + 1), dtype=int)
+                    r, c = np.nonzero((place > 0) & (place <= E + 1))
+                    d[r, place[r, c] - 1] = dist[r, c]
+                    idx[r, place[r, c] - 1] = rows[r, c] + span + Tp
+                    out[lo : lo + step] = K.forecast(K.weights(d), idx, y)
+            rho = [K.correlation(p, y[span + Tp :]) for p in pred]
+            yield pd.DataFrame({"lib_size": pdf["lib_size"].astype("int32"), "trial": pdf["trial"].astype("int32"), "rho": rho})
 
     return tasks.mapInPandas(run, "lib_size int, trial int, rho double").withColumn("rho", F.nanvl("rho", F.lit(None).cast("double")))

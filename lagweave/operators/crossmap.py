@@ -15,15 +15,27 @@ from lagweave.operators.embedding import embed
 from lagweave.operators.simplex import lookup, weigh
 from lagweave.plans.ship import ship
 
-#: Target series that travel together to a kernel task.
-TARGET_BLOCK = 64
+#: Bytes of the series that a task holds as libraries and as targets, about.
+LIB_BYTES, TARGET_BYTES = 4_000_000, 32_000_000
+
+
+def tile_counts(n: int, longest: int, parallelism: int) -> tuple[int, int]:
+    """(tiles of libraries, series of a tile of targets) for n series of at most so many steps.
+
+    Every tile of libraries meets every tile of targets, so a series travels once for each tile of the other kind, not
+    once for each series. Few series are cut finer, so that there is work for all tasks.
+    """
+    size = 4 * max(1, longest)
+    per_tile = max(1, TARGET_BYTES // size)
+    least = min(n, -(-2 * parallelism // max(1, -(-n // per_tile))))
+    return max(-(-n * size // LIB_BYTES), least, 1), per_tile
 
 
 def xmap(panel: DataFrame, dims: DataFrame, tau: int = 1, Tp: int = 0, strategy: str = "kernel") -> DataFrame:
     """(lib_sid, tgt_sid, E, rho): every series predicts every other with the embedding dimension of the target.
 
-    dims has (sid, E). One table of neighbours serves all targets of the same E. The kernel form meets each
-    library with blocks of targets of one E; predictions are folded into the correlation and never stored.
+    dims has (sid, E). One table of neighbours serves all targets of the same E. The kernel form meets tiles of
+    libraries with tiles of targets of one E; predictions are folded into the correlation and never stored.
     """
     embedding_args(1, tau, Tp)
     dims = dims.select("sid", F.col("E").cast("int").alias("E"))
@@ -39,27 +51,30 @@ def xmap(panel: DataFrame, dims: DataFrame, tau: int = 1, Tp: int = 0, strategy:
             out = one if out is None else out.unionByName(one)
         return out
     series = pack(panel)
-    targets = series.join(dims, "sid").withColumn("_b", F.pmod(F.xxhash64("sid"), F.lit(1 << 20)))
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.count("*") / TARGET_BLOCK))
-    sizes = dims.groupBy("E").agg(n_blocks.cast("int").alias("_n"))  # at most E_max rows
-    blocks = targets.join(F.broadcast(sizes), "E").withColumn("_b", F.col("_b") % F.col("_n"))
-    blocks = blocks.groupBy("E", "_b").agg(F.collect_list(F.struct("sid", "vs")).alias("tgts"))
-    libs = series.join(F.broadcast(sizes.select("E", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_b")))).withColumnRenamed("sid", "lib_sid")
-    tasks = libs.join(blocks, ["E", "_b"]).select("lib_sid", "E", "vs", "tgts")
-    tasks = tasks.repartition(panel.sparkSession.sparkContext.defaultParallelism, "lib_sid", "E")
+    n, longest = series.agg(F.count("*"), F.coalesce(F.max(F.size("vs")), F.lit(0))).first()
+    lib_tiles, per_tile = tile_counts(n, longest, panel.sparkSession.sparkContext.defaultParallelism)
+    sizes = dims.groupBy("E").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / per_tile)).cast("int").alias("_n"))  # at most E_max rows
+    libs = series.select(F.col("sid").alias("lib_sid"), F.col("vs").alias("xs"), F.pmod(F.xxhash64("sid"), F.lit(lib_tiles)).cast("int").alias("_l"))
+    libs = libs.join(F.broadcast(sizes.select(F.col("E").alias("_e"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_b"))))
+    targets = series.join(dims, "sid").join(F.broadcast(sizes), "E")
+    targets = targets.select(F.col("sid").alias("tgt_sid"), F.col("vs").alias("ys"), F.col("E").alias("_e2"), F.pmod(F.xxhash64("sid"), F.col("_n")).cast("int").alias("_b2"), F.explode(F.sequence(F.lit(0), F.lit(lib_tiles - 1))).alias("_l2"))
 
-    ship(tasks.sparkSession)
-    def run(batches):
-        for pdf in batches:
-            for sid, E, vs, tgts in pdf.itertuples(index=False):
-                x, span = np.asarray(vs, dtype=float), (E - 1) * tau
+    ship(panel.sparkSession)
+    def run(libraries: pd.DataFrame, goals: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(libraries) and len(goals):
+            E = int(goals["_e2"].iloc[0])
+            span, ys = (E - 1) * tau, [np.asarray(v, dtype=float) for v in goals["ys"]]
+            for sid, vs in libraries[["lib_sid", "xs"]].itertuples(index=False):
+                x = np.asarray(vs, dtype=float)
                 vectors = K.delay_matrix(x, E, tau)
-                dist, j = K.neighbours(vectors, vectors[: len(x) - span - Tp], E + 1)
+                dist, j = K.neighbours(vectors, vectors[: max(0, len(x) - span - Tp)], E + 1)
                 w, at = K.weights(dist), j + span + Tp
-                rows = [(t["sid"], K.correlation((w * np.asarray(t["vs"], dtype=float)[at]).sum(axis=1), np.asarray(t["vs"], dtype=float)[span + Tp :])) for t in tgts]
-                yield pd.DataFrame({"lib_sid": sid, "tgt_sid": [r[0] for r in rows], "E": np.int32(E), "rho": [r[1] for r in rows]})
+                out += [(sid, t, E, K.correlation(K.forecast(w, at, y), y[span + Tp :])) for t, y in zip(goals["tgt_sid"], ys)]
+        return pd.DataFrame(out, columns=["lib_sid", "tgt_sid", "E", "rho"]).astype({"lib_sid": str, "tgt_sid": str, "E": "int32", "rho": float})
 
-    return tasks.mapInPandas(run, "lib_sid string, tgt_sid string, E int, rho double").withColumn("rho", F.nanvl("rho", F.lit(None).cast("double")))
+    mapped = libs.groupBy("_l", "_e", "_b").cogroup(targets.groupBy("_l2", "_e2", "_b2")).applyInPandas(run, "lib_sid string, tgt_sid string, E int, rho double")
+    return mapped.withColumn("rho", F.nanvl("rho", F.lit(None).cast("double")))
 
 
 def rho_diff(mapped: DataFrame, correlations: DataFrame) -> DataFrame:

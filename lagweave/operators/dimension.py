@@ -21,7 +21,7 @@ def rho_by_dimension(panel: DataFrame, E_max: int = 20, tau: int = 1, Tp: int =
     require(E_max > 0, "E_max must be greater than zero")
     embedding_args(1, tau, Tp)
     if strategy == "relational":
-        return reduce(DataFrame.unionByName, [skill(simplex(panel, panel, None, E, tau, Tp)).select("sid", F.lit(E).alias("E"), "rho") for E in range(1, E_max + 1)])
+        return reduce(DataFrame.unionByName, [skill(simplex(panel, panel, None, E, tau, Tp, strategy="relational")).select("sid", F.lit(E).alias("E"), "rho") for E in range(1, E_max + 1)])
     tasks = pack(panel).withColumn("E", F.explode(F.sequence(F.lit(1), F.lit(E_max))))
     tasks = tasks.select("sid", "E", "vs").repartition(tasks.sparkSession.sparkContext.defaultParallelism, "sid", "E")
 
@@ -33,7 +33,7 @@ def rho_by_dimension(panel: DataFrame, E_max: int = 20, tau: int = 1, Tp: int =
                 require(len(x) - span - Tp >= E + 1, "lib size is too small")
                 vectors = K.delay_matrix(x, E, tau)
                 dist, j = K.neighbours(vectors, vectors[: len(x) - span - Tp], E + 1)
-                pred = (K.weights(dist) * x[j + span + Tp]).sum(axis=1)
+                pred = K.forecast(K.weights(dist), j + span + Tp, x)
                 yield pd.DataFrame({"sid": [sid], "E": [E], "rho": [K.correlation(pred, x[span + Tp :])]}).astype({"E": "int32"})
 
     return tasks.mapInPandas(run, "sid string, E int, rho double").withColumn("rho", F.nanvl("rho", F.lit(None).cast("double")))

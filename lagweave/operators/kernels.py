@@ -72,25 +72,57 @@ def correlation(x: np.ndarray, y: np.ndarray) -> float:
     return float((x * y).sum() / scale) if scale > 0 else float("nan")
 
 
+def standardised(x: np.ndarray) -> np.ndarray:
+    """x less its mean, of length 1; NaN where it has no variance. The dot product of two such is their correlation."""
+    x = x - x.mean()
+    scale = np.sqrt((x * x).sum())
+    return x / scale if scale > 0 else np.full(len(x), np.nan)
+
+
+def forecast(w: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weighted sums of y at the neighbours' places, added up one neighbour after the other, so no n x k table is made."""
+    out = np.zeros(len(w))
+    for k in range(w.shape[1]):
+        out += w[:, k] * y[at[:, k]]
+    return out
+
+
+def solve_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least squares for a stack of systems by QR; those of deficient rank get the solution of least norm."""
+    q, r = np.linalg.qr(a)
+    size = np.abs(np.diagonal(r, axis1=1, axis2=2))
+    good = size.min(axis=1) > size.max(axis=1) * a.shape[1] * np.finfo(float).eps
+    out = np.empty((len(a), a.shape[2]))
+    if good.any():
+        rhs = np.einsum("bij,bi->bj", q[good], b[good])
+        out[good] = np.linalg.solve(r[good], rhs[:, :, None])[:, :, 0]
+    for k in np.flatnonzero(~good):
+        out[k] = np.linalg.lstsq(a[k], b[k], rcond=None)[0]
+    return out
+
+
 def local_linear(lib: np.ndarray, target: np.ndarray, vectors: np.ndarray, E: int, tau: int, Tp: int, theta: float) -> np.ndarray:
-    """One weighted least-squares fit for each vector. NaN where all library rows are duplicates of it."""
+    """One weighted least-squares fit for each vector, in batches of bounded size. NaN where all library rows are
+    duplicates of it."""
     span = (E - 1) * tau
     n_lib = len(lib) - span - Tp
     rows = delay_matrix(lib, E, tau)[:n_lib]
     y = target[span + Tp : span + Tp + n_lib]
     design = np.concatenate([np.ones((n_lib, 1)), rows], axis=1)
-    out = np.empty(len(vectors))
-    for i, x in enumerate(vectors):
-        d2 = ((rows - x) ** 2).sum(axis=1)
+    out = np.full(len(vectors), np.nan)
+    step = max(1, BLOCK_CELLS // max(1, n_lib * (E + 1)))
+    for lo in range(0, len(vectors), step):
+        x = vectors[lo : lo + step]
+        d2 = np.zeros((len(x), n_lib))
+        for e in range(E):
+            d2 += (x[:, e, None] - rows[None, :, e]) ** 2
         real = d2 > 0
-        d = np.where(real, np.sqrt(d2), FLT_MAX)
-        mean = d[real].sum() / n_lib
-        if mean == 0:
-            out[i] = np.nan
-            continue
-        w = np.exp(-theta * np.where(real, d, 0.0) / mean)
+        d = np.sqrt(d2)
+        mean = d.sum(axis=1) / n_lib
+        fits = mean > 0
+        w = np.exp(-theta * d[fits] / mean[fits, None])
         if theta > 0:
-            w[~real] = 0.0
-        b = np.linalg.lstsq(design * w[:, None], y * w, rcond=None)[0]
-        out[i] = b[0] + b[1:] @ x
+            w[~real[fits]] = 0.0
+        b = solve_rows(design[None] * w[:, :, None], y[None] * w)
+        out[lo : lo + step][fits] = b[:, 0] + (b[:, 1:] * x[fits]).sum(axis=1)
     return out

@@ -1,8 +1,9 @@
 """Nearest neighbours of every prediction row among the library rows of the same series.
 
-Two physical forms give the same rows. ``relational`` joins on the series and ranks with row_number, which
-Catalyst turns into a map-side WindowGroupLimit. ``kernel`` ships each series once per block of prediction rows
-and ranks in NumPy, so no pair ever becomes a Spark row; it is the form for long series.
+Two physical forms give the same rows. ``kernel``, the default, ranks in NumPy: a task takes a block of prediction rows
+and the series' library, and no pair ever becomes a Spark row. ``relational`` joins on the series and ranks with
+row_number, which Catalyst turns into a map-side WindowGroupLimit; all pairs of a series meet in one task, so it is for
+short series and for checking the other form.
 """
 
 from __future__ import annotations
@@ -50,16 +51,25 @@ def nearest(pairs: DataFrame, k: int | None, on: list[str] | None = None) -> Dat
 
 
 def pack(panel: DataFrame, name: str = "vs") -> DataFrame:
-    """One row (sid, vs) per series, its values in the order of time."""
-    return panel.groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias(name))
+    """One row (sid, vs) per series, its values in the order of time, as the float32 that they are."""
+    return panel.groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"].cast("float")).alias(name))
 
 
-def nearest_kernel(lib: DataFrame, pred: DataFrame, E: int, tau: int, Tp: int, k: int) -> DataFrame:
+def starts(panel: DataFrame, span: int, block: int) -> DataFrame:
+    """(sid, a): the first prediction row of each block of each series."""
+    n = F.count("*").cast("int") - span
+    return panel.groupBy("sid").agg(n.alias("_n")).where("_n > 0").select("sid", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(block))).alias("a"))
+
+
+def blocks(pred: DataFrame, lib: DataFrame, span: int, block: int) -> DataFrame:
+    """(sid, ls, a, ps): for each block of prediction rows its stretch of the series and the whole library."""
+    tasks = starts(pred, span, block).join(pack(pred, "ps"), "sid").join(pack(lib, "ls"), "sid")
+    return tasks.select("sid", "ls", "a", F.slice("ps", F.col("a") + 1, F.lit(block + span)).alias("ps"))
+
+
+def nearest_kernel(lib: DataFrame, pred: DataFrame, E: int, tau: int, Tp: int, k: int, weighted: bool = False) -> DataFrame:
     span = (E - 1) * tau
-    tasks = pack(pred, "ps").join(pack(lib, "ls"), "sid")
-    # Only a block's own stretch of the prediction series travels with it; the library travels whole.
-    start = F.explode(F.sequence(F.lit(0), F.greatest(F.size("ps") - span - 1, F.lit(0)), F.lit(PRED_BLOCK)))
-    tasks = tasks.select("sid", "ls", "ps", start.alias("a")).select("sid", "ls", "a", F.slice("ps", F.col("a") + 1, F.lit(PRED_BLOCK + span)).alias("ps"))
+    tasks = blocks(pred, lib, span, PRED_BLOCK)
     tasks = tasks.repartition(tasks.sparkSession.sparkContext.defaultParallelism, "sid", "a")
 
     ship(tasks.sparkSession)
@@ -72,12 +82,13 @@ def nearest_kernel(lib: DataFrame, pred: DataFrame, E: int, tau: int, Tp: int, k
                     continue
                 dist, j = K.neighbours(vectors, rows, k)
                 m = j.shape[1]
-                yield pd.DataFrame({"sid": sid, "i": np.repeat(np.arange(a, a + len(vectors), dtype=np.int32), m), "rk": np.tile(np.arange(1, m + 1, dtype=np.int32), len(vectors)), "j": j.ravel().astype(np.int32), "idx": (j.ravel() + span + Tp).astype(np.int32), "dist": dist.ravel()})
+                out = {"sid": sid, "i": np.repeat(np.arange(a, a + len(vectors), dtype=np.int32), m), "rk": np.tile(np.arange(1, m + 1, dtype=np.int32), len(vectors)), "j": j.ravel().astype(np.int32), "idx": (j.ravel() + span + Tp).astype(np.int32), "dist": dist.ravel()}
+                yield pd.DataFrame(out | ({"w": K.weights(dist).ravel()} if weighted else {}))
 
-    return tasks.mapInPandas(run, "sid string, i int, rk int, j int, idx int, dist double")
+    return tasks.mapInPandas(run, "sid string, i int, rk int, j int, idx int, dist double" + (", w double" if weighted else ""))
 
 
-def knn(lib: DataFrame, pred: DataFrame, E: int, tau: int = 1, Tp: int = 0, top_k: int | None = None, strategy: str = "relational") -> DataFrame:
+def knn(lib: DataFrame, pred: DataFrame, E: int, tau: int = 1, Tp: int = 0, top_k: int | None = None, strategy: str = "kernel") -> DataFrame:
     """(sid, i, rk, j, idx, dist) for every series that both panels have."""
     require(top_k is None or top_k > 0, "top_k must be greater than zero")
     k = top_k or E + 1

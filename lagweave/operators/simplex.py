@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lagweave.functions.stats import corr
-from lagweave.functions.validate import embedding_args
+from lagweave.functions.validate import embedding_args, require
+from lagweave.operators import kernels as K
 from lagweave.operators.embedding import embed_block
 from lagweave.operators.kernels import MIN_WEIGHT
-from lagweave.operators.neighbors import knn, nearest, pairwise
+from lagweave.operators.neighbors import PRED_BLOCK, blocks, knn, nearest, nearest_kernel, pack, pairwise, starts
+from lagweave.plans.ship import ship
 
 
 def weigh(neighbours: DataFrame, on: list[str]) -> DataFrame:
@@ -39,11 +43,64 @@ def with_actual(pred: DataFrame, observed: DataFrame, span: int, Tp: int, join:
     return pred.withColumn("t", F.col("i") + span + Tp).join(o, [*join, "t"], "left")
 
 
-def simplex(lib: DataFrame, pred: DataFrame, target: DataFrame | None = None, E: int = 1, tau: int = 1, Tp: int = 1, observed: DataFrame | None = None, strategy: str = "relational") -> DataFrame:
+def neighbour_weights(lib: DataFrame, pred: DataFrame, E: int = 1, tau: int = 1, Tp: int = 1, top_k: int | None = None, strategy: str = "kernel") -> DataFrame:
+    """(sid, i, rk, j, idx, dist, w): the table from which every target of a series is predicted."""
+    embedding_args(E, tau, Tp)
+    if strategy == "kernel":
+        return nearest_kernel(lib, pred, E, tau, Tp, top_k or E + 1, weighted=True)
+    return weigh(knn(lib, pred, E, tau, Tp, top_k or E + 1, strategy), ["sid", "i"])
+
+
+#: Bytes of the target series that one task looks up together, about.
+TILE_BYTES = 32_000_000
+
+
+def projected(lib: DataFrame, pred: DataFrame, targets: DataFrame, E: int, tau: int, Tp: int, tiles: int = 1) -> DataFrame:
+    """(lib_sid, sid, i, pred) of every target (lib_sid, sid, ys).
+
+    Neighbours are found and looked up in one task, and none of them becomes a row; one table of neighbours serves all
+    targets of a tile. A task holds a block of prediction rows, the library and a tile of targets.
+    """
+    span = (E - 1) * tau
+    left = blocks(pred, lib, span, PRED_BLOCK).withColumnRenamed("sid", "lib_sid").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    at = starts(pred, span, PRED_BLOCK).withColumnRenamed("sid", "lib_sid")
+    right = targets.join(at, "lib_sid").select(F.col("lib_sid").alias("_s"), F.col("a").alias("_a"), F.pmod(F.xxhash64("sid"), F.lit(tiles)).cast("int").alias("_t"), F.col("sid").alias("tgt_sid"), F.col("ys").alias("goal"))
+
+    ship(lib.sparkSession)
+    def run(block: pd.DataFrame, goals: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"lib_sid": pd.Series(dtype=str), "sid": pd.Series(dtype=str), "i": pd.Series(dtype="int32"), "pred": pd.Series(dtype=float)})]
+        for sid, a, ls, ps in block[["lib_sid", "a", "ls", "ps"]].itertuples(index=False):
+            vectors = K.delay_matrix(np.asarray(ps, dtype=float), E, tau)
+            rows = K.delay_matrix(np.asarray(ls, dtype=float), E, tau)[: max(0, len(ls) - span - Tp)]
+            if not len(vectors) or not len(rows):
+                continue
+            dist, j = K.neighbours(vectors, rows, E + 1)
+            w, idx = K.weights(dist), j + span + Tp
+            for name, ys in goals[["tgt_sid", "goal"]].itertuples(index=False):
+                require(len(ys) >= len(ls), "lib must have no more time steps than target")
+                out.append(pd.DataFrame({"lib_sid": sid, "sid": name, "i": np.arange(a, a + len(vectors), dtype=np.int32), "pred": K.forecast(w, idx, np.asarray(ys, dtype=float))}))
+        return pd.concat(out[1:] or out, ignore_index=True)
+
+    return left.groupBy("lib_sid", "a", "_b").cogroup(right.groupBy("_s", "_a", "_t")).applyInPandas(run, "lib_sid string, sid string, i int, pred double")
+
+
+def lookup_targets(lib: DataFrame, pred: DataFrame, targets: DataFrame, E: int = 1, tau: int = 1, Tp: int = 1) -> DataFrame:
+    """(sid, i, pred): the neighbours of a panel of one series look up every series of targets at once."""
+    embedding_args(E, tau, Tp)
+    steps = targets.count()
+    name = lib.select(F.col("sid").alias("lib_sid")).distinct()  # one row
+    each = pack(targets, "ys").crossJoin(F.broadcast(name))
+    return projected(lib, pred, each, E, tau, Tp, max(1, -(-4 * steps // TILE_BYTES))).select("sid", "i", "pred")
+
+
+def simplex(lib: DataFrame, pred: DataFrame, target: DataFrame | None = None, E: int = 1, tau: int = 1, Tp: int = 1, observed: DataFrame | None = None, strategy: str = "kernel") -> DataFrame:
     """(sid, i, t, pred, actual) for every series; target (default: lib) and observed (default: pred) hold the same sids."""
     embedding_args(E, tau, Tp)
-    lut = weigh(knn(lib, pred, E, tau, Tp, E + 1, strategy), ["sid", "i"])
-    out = lookup(lut, lib if target is None else target, ["sid", "i"], ["sid"])
+    goal = lib if target is None else target
+    if strategy == "kernel":
+        out = projected(lib, pred, pack(goal, "ys").withColumn("lib_sid", F.col("sid")), E, tau, Tp).select("sid", "i", "pred")
+    else:
+        out = lookup(neighbour_weights(lib, pred, E, tau, Tp, strategy=strategy), goal, ["sid", "i"], ["sid"])
     out = with_actual(out, pred if observed is None else observed, (E - 1) * tau, Tp, ["sid"])
     return out.select("sid", "i", "t", "pred", "actual")
 
