@@ -7,9 +7,9 @@ doubles which are one float32 count as duplicates.
 from __future__ import annotations
 
 import csv
-from pathlib import Path
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,17 +53,38 @@ def to_wide(panel: DataFrame, sids: list[str]) -> DataFrame:
     return panel.groupBy("t").pivot("sid", sids).agg(F.first("v"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(t, value) of a text file's lines that are not blank, numbered from 0 in the order of the file.
+
+    The file is read in parallel. A line's number is its number within its split and the count of the lines of the
+    splits before it; what comes to the driver is a row for each split.
+    """
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        raise ValueError(f"Failed to open file {path}") from e
+    lines = lines.select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    lines = lines.where(F.trim("value") != "").withColumn("_k", F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_m")))
+    splits = sorted(lines.groupBy("_f", "_b").agg(F.max("_k").alias("n")).collect())
+    require(len({s["_f"] for s in splits}) <= 1, "the order of lines is that of one file; several files need order_col")
+    before, rows = 0, []
+    for s in splits:
+        rows.append((s["_b"], before))
+        before += s["n"]
+    offsets = spark.createDataFrame(rows, "_b long, _o long")
+    return lines.join(F.broadcast(offsets), "_b").select((F.col("_o") + F.col("_k") - 1).alias("t"), "value")
+
+
 def load_csv(spark: SparkSession, path: str, order_col: str | None = None) -> DataFrame:
-    """CSV with a header; every column is a series. Without order_col the order is that of the lines, which only
-    a single reader knows, so the file is then read on the driver (small files)."""
+    """CSV with a header; every column is a series. Without order_col the order is that of the file's lines."""
     if order_col is None:
-        try:
-            text = Path(path).read_text("utf-8-sig")
-        except OSError as e:
-            raise ValueError(f"Failed to open file {path}") from e
-        rows = [r for r in csv.reader(text.splitlines()) if r]
-        values = np.array([[np.float32(x) for x in r] for r in rows[1:]], dtype=np.float32).reshape(len(rows) - 1, len(rows[0]))
-        return from_arrays(spark, {name: values[:, k] for k, name in enumerate(rows[0])})
+        lines = numbered_lines(spark, path)
+        header = lines.where("t = 0").first()
+        require(header is not None, f"{path} has no header")
+        names = next(csv.reader([header["value"].lstrip("\ufeff")]))
+        cells = F.split("value", ",")
+        rows = lines.where("t > 0").select((F.col("t") - 1).cast("int").alias("t"), F.explode(F.map_from_arrays(F.array(*[F.lit(n.strip()) for n in names]), cells)).alias("sid", "v"))
+        return rows.select("sid", "t", single(F.trim("v")).alias("v"))
     df = spark.read.csv(path, header=True, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     names = [c for c in df.columns if c != order_col]
     return from_wide(df.withColumn(order_col, F.col(f"`{order_col}`").cast("int")), order_col, names)
@@ -91,14 +112,21 @@ def write_csv(df: DataFrame, path: str, digits: int = 6) -> None:
     df.select(*cols).write.mode("overwrite").csv(path, header=True)
 
 
-def csv_to_parquet(spark: SparkSession, src: str, dst: str, order_col: str | None = None, transpose: bool = False) -> None:
-    """With transpose the lines, not the columns, of the file are the series."""
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    return spark.read.csv(path, header=True, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).columns
+
+
+def transpose(panel: DataFrame, sids: list[str]) -> DataFrame:
+    """The steps become the series row0, row1, ..., and the series, in the order given, their steps."""
+    place = panel.sparkSession.createDataFrame([(s, k) for k, s in enumerate(sids)], "sid string, _k int")
+    return panel.join(F.broadcast(place), "sid").select(F.concat(F.lit("row"), "t").alias("sid"), F.col("_k").alias("t"), "v")
+
+
+def csv_to_parquet(spark: SparkSession, src: str, dst: str, order_col: str | None = None, transpose_lines: bool = False) -> None:
+    """With transpose_lines the lines, not the columns, of the file are the series; their steps are in the header's order."""
     panel = load_csv(spark, src, order_col)
-    if transpose:
-        column = F.dense_rank().over(Window.partitionBy("t").orderBy("sid")) if order_col else None
-        names = [c for c in next(csv.reader([Path(src).read_text("utf-8-sig").splitlines()[0]])) if c != order_col] if column is None else None
-        place = F.element_at(F.create_map(*[x for k, c in enumerate(names) for x in (F.lit(c), F.lit(k))]), F.col("sid")) if names else column - 1
-        panel = panel.select(F.concat(F.lit("row"), "t").alias("sid"), place.cast("int").alias("t"), "v")
+    if transpose_lines:
+        panel = transpose(panel, [c.lstrip("\ufeff") for c in header_of(spark, src) if c != order_col])
     write_panel(panel, dst)
 
 
