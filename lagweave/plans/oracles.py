@@ -14,13 +14,15 @@ p AS (
   LEFT JOIN found f ON f.sid = s.sid AND f.t = g.t)"""
 H = HOURLY.format(sid="event_type")
 ALL = HOURLY.format(sid="'all'")
-DAILY = """found AS (
-  SELECT l_returnflag || l_linestatus AS sid, CAST(floor(epoch(l_shipdate - TIMESTAMP '1996-01-01 00:00:00') / 86400) AS INT) AS t,
+DAILY = """days AS (
+  SELECT CAST(date_trunc('day', min(l_shipdate)) AS TIMESTAMP) AS first, date_diff('day', min(l_shipdate), max(l_shipdate)) + 1 AS n FROM lineitem),
+found AS (
+  SELECT l_returnflag || l_linestatus AS sid, CAST(floor(epoch(l_shipdate - first) / 86400) AS INT) AS t,
          CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS v
-  FROM lineitem GROUP BY 1, 2),
+  FROM lineitem, days GROUP BY 1, 2),
 p AS (
   SELECT s.sid, CAST(g.t AS INT) AS t, CAST(CAST(coalesce(f.v, 0) AS FLOAT) AS DOUBLE) AS v
-  FROM (SELECT DISTINCT sid FROM found WHERE t BETWEEN 0 AND 599) s CROSS JOIN (SELECT unnest(range(600)) AS t) g
+  FROM (SELECT DISTINCT sid FROM found) s CROSS JOIN (SELECT unnest(range(n)) AS t FROM days) g
   LEFT JOIN found f ON f.sid = s.sid AND f.t = g.t)"""
 
 
@@ -100,7 +102,7 @@ def ccm(sizes: list[int], trials: int, E: int, Tp: int, keep: int | None, naive:
     universe = f"SELECT t AS idx FROM a0 WHERE t < (SELECT count(*) FROM a0) - {E - 1 + Tp}" if naive else "SELECT t AS idx FROM a0"
     drawn = "row_number() OVER (PARTITION BY lib_size, trial ORDER BY md5(concat_ws('-', trial, idx)), idx)"
     some = f"smp AS (SELECT lib_size, trial, idx FROM ({universe}) CROSS JOIN (SELECT unnest({sizes}) AS lib_size) CROSS JOIN (SELECT unnest(range({trials})) AS trial) QUALIFY {drawn} <= lib_size)"
-    ctes = [slice_("a0", "p", 0, 240, "sid = 'click'"), slice_("y0", "p", 0, 240, "sid = 'view'"), some, embed("a", "a0", E, 1, Tp, False), embed("b", "a0", E, 1, Tp, True), pairs("d", "a", "b", E), near("n", "d", keep)]
+    ctes = ["a0 AS (SELECT * FROM p WHERE sid = 'click')", "y0 AS (SELECT * FROM p WHERE sid = 'view')", some, embed("a", "a0", E, 1, Tp, False), embed("b", "a0", E, 1, Tp, True), pairs("d", "a", "b", E), near("n", "d", keep)]
     on = "s.idx = n.j" if naive else "s.idx = n.idx"
     again = "row_number() OVER (PARTITION BY s.lib_size, s.trial, n.i ORDER BY n.rk)"
     ctes.append(f"c AS (SELECT s.lib_size, s.trial, n.i, n.idx, n.dist, {again} AS q FROM n JOIN smp s ON {on} QUALIFY {again} <= {E + 1})")
@@ -118,22 +120,26 @@ TRIALS = "SELECT lib_size, trial, round(rho, 6) AS rho FROM r"
 def smap(E: int, thetas: list[float]) -> list[str]:
     """Weighted least squares in closed form: centred normal equations, for one or two regressors."""
     d2 = " + ".join(f"(a.e{e} - b.e{e}) * (a.e{e} - b.e{e})" for e in range(E))
-    ctes = [slice_("s", "p", 0, 300, "sid = 'view'"), embed("a", "s", E, 1, 1, False), embed("b", "s", E, 1, 1, True)]
+    ctes = [embed("a", "p", E, 1, 1, False), embed("b", "p", E, 1, 1, True)]
     xs = ", ".join(f"a.e{e} AS q{e}, b.e{e} AS x{e}" for e in range(E))
-    ctes.append(f"d AS (SELECT a.sid, a.j AS i, {xs}, y.v AS y, sqrt({d2}) AS dist FROM a JOIN b ON a.sid = b.sid JOIN s y ON y.t = b.idx)")
-    ctes.append("m AS (SELECT *, sum(dist) OVER (PARTITION BY i) / count(*) OVER (PARTITION BY i) AS mean FROM d)")
+    ctes.append(f"d AS (SELECT a.sid, a.j AS i, {xs}, y.v AS y, sqrt({d2}) AS dist FROM a JOIN b ON a.sid = b.sid JOIN p y ON y.sid = b.sid AND y.t = b.idx)")
+    ctes.append("m AS (SELECT *, sum(dist) OVER (PARTITION BY sid, i) / count(*) OVER (PARTITION BY sid, i) AS mean FROM d)")
     ctes.append(f"w AS (SELECT *, CASE WHEN dist = 0 THEN CASE WHEN theta = 0 THEN 1.0 ELSE 0.0 END ELSE exp(-2 * theta * dist / mean) END AS o FROM m CROSS JOIN (SELECT unnest({thetas}::DOUBLE[]) AS theta))")
     means = ", ".join(f"sum(o * x{e}) / sum(o) AS m{e}, any_value(q{e}) AS q{e}" for e in range(E))
     ctes.append(f"c AS (SELECT sid, theta, i, {means}, sum(o * y) / sum(o) AS my FROM w GROUP BY sid, theta, i)")
     sums = ", ".join([f"sum(w.o * (w.x{e} - c.m{e}) * (w.y - c.my)) AS s{e}y" for e in range(E)] + [f"sum(w.o * (w.x{e} - c.m{e}) * (w.x{f} - c.m{f})) AS s{e}{f}" for e in range(E) for f in range(e, E)])
-    ctes.append(f"k AS (SELECT c.*, z.* EXCLUDE (theta, i) FROM c JOIN (SELECT w.theta, w.i, {sums} FROM w JOIN c USING (theta, i) GROUP BY w.theta, w.i) z USING (theta, i))")
+    ctes.append(f"k AS (SELECT c.*, z.* EXCLUDE (sid, theta, i) FROM c JOIN (SELECT w.sid, w.theta, w.i, {sums} FROM w JOIN c USING (sid, theta, i) GROUP BY w.sid, w.theta, w.i) z USING (sid, theta, i))")
     fit = "my + s0y / s00 * (q0 - m0)" if E == 1 else "my + ((s0y * s11 - s1y * s01) * (q0 - m0) + (s1y * s00 - s0y * s01) * (q1 - m1)) / (s00 * s11 - s01 * s01)"
     ctes.append(f"x AS (SELECT sid, theta, i, {fit} AS pred FROM k)")
     return ctes
 
 
 def smap_rows(E: int) -> str:
-    return with_(H, *smap(E, [0.0, 1.0]), select=f"SELECT x.sid, x.theta, x.i, CAST(x.i + {E} AS INT) AS t, round(x.pred, 4) AS pred, round(o.v, 4) AS actual FROM x LEFT JOIN s o ON o.t = x.i + {E}")
+    return with_(H, *smap(E, [0.0, 1.0]), select=f"SELECT x.sid, x.theta, x.i, CAST(x.i + {E} AS INT) AS t, round(x.pred, 4) AS pred, round(o.v, 4) AS actual FROM x LEFT JOIN p o ON o.sid = x.sid AND o.t = x.i + {E}")
+
+
+def smap_skill(E: int, digits: int, by: str) -> str:
+    return f"SELECT {by}, round({corr('x.pred', 'o.v')}, {digits}) AS rho FROM x JOIN p o ON o.sid = x.sid AND o.t = x.i + {E} GROUP BY {by}"
 
 
 def _knn(select: str) -> str:
@@ -147,6 +153,9 @@ def _block(n: str, E: int, ahead: bool) -> str:
 
 
 _EMB = " + ".join(f"(CAST(a.embedding[{k}] AS DOUBLE) - CAST(b.embedding[{k}] AS DOUBLE)) * (CAST(a.embedding[{k}] AS DOUBLE) - CAST(b.embedding[{k}] AS DOUBLE))" for k in range(1, 65))
+_DIGEST = "SELECT sid, i, count(*) AS pairs, CAST(sum(CAST(floor(d2) AS BIGINT)) AS BIGINT) AS total, CAST(sum(CAST(floor(d2) AS BIGINT) * idx) AS BIGINT) AS moment, round(min(d2), 6) AS least, round(max(d2), 6) AS most FROM d GROUP BY sid, i"
+_SAWTOOTH = "p AS (SELECT 'sawtooth' AS sid, CAST(t AS INT) AS t, CAST(CAST((t % 1000) / 1000 AS FLOAT) AS DOUBLE) AS v FROM range(3000) r(t))"
+_LOGISTIC = "RECURSIVE g AS (SELECT 0 AS t, 0.23456::DOUBLE AS x UNION ALL SELECT t + 1, 4::DOUBLE * x * (1::DOUBLE - x) FROM g WHERE t < 299),\np AS (SELECT 'logistic' AS sid, t, CAST(CAST(x AS FLOAT) AS DOUBLE) AS v FROM g)"
 _DIST = "SELECT sid, i, rk, j, idx, round(dist, 6) AS dist FROM n"
 
 ORACLES: dict[str, str] = {
@@ -155,14 +164,15 @@ ORACLES: dict[str, str] = {
     "panel_slice": with_(H, slice_("s", "p", 100, 300, "sid IN ('click', 'view')"), select="SELECT sid, t, v FROM s"),
     "panel_wide": with_(H, select="SELECT t, " + ", ".join(f"max(v) FILTER (sid = '{s}') AS {s}" for s in ("click", "error", "purchase", "signup", "view")) + " FROM p GROUP BY t"),
     "delay_embed_e3": with_(H, embed("e", "p", 3, 1, 1, True), select="SELECT sid, j, idx, e0, e1, e2 FROM e"),
-    "pairwise_dist": with_(H, slice_("s", "p", 0, 120, "sid = 'click'"), embed("a", "s", 2, 1, 0, False), embed("b", "s", 2, 1, 1, True), pairs("d", "a", "b", 2, False), select="SELECT i, j, idx, round(d2, 6) AS d2 FROM d"),
-    "degenerate_mask": with_(H, slice_("s", "p", 0, 120), embed("a", "s", 1, 1, 0, False), embed("b", "s", 1, 1, 1, True), pairs("d", "a", "b", 1), select="SELECT sid, CAST(sum(CASE WHEN d2 > 1e38 THEN 1 ELSE 0 END) AS BIGINT) AS masked, count(*) AS pairs FROM d GROUP BY sid"),
-    "multivar_dist": with_(H, slice_("s", "p", 0, 100), embed("a1", "s", 2, 1, 1, False), embed("b1", "s", 2, 1, 1, True), _block("a", 2, False), _block("b", 2, True), pairs("d", "a", "b", 4, False), select="SELECT i, j, idx, round(d2, 6) AS d2 FROM d"),
+    "pairwise_dist": with_(H, embed("a", "p", 2, 1, 0, False), embed("b", "p", 2, 1, 1, True), pairs("d", "a", "b", 2, False), select=_DIGEST),
+    "degenerate_mask": with_(H, embed("a", "p", 1, 1, 0, False), embed("b", "p", 1, 1, 1, True), pairs("d", "a", "b", 1), select="SELECT sid, CAST(sum(CASE WHEN d2 > 1e38 THEN 1 ELSE 0 END) AS BIGINT) AS masked, count(*) AS pairs FROM d GROUP BY sid"),
+    "multivar_dist": with_(H, embed("a1", "p", 2, 1, 1, False), embed("b1", "p", 2, 1, 1, True), _block("a", 2, False), _block("b", 2, True), pairs("d", "a", "b", 4, False), select=_DIGEST),
     "knn_topk": _knn(_DIST),
-    "knn_kernel": _knn(_DIST),
-    "knn_full_sort": with_(H, slice_("s", "p", 0, 80), embed("a", "s", 2, 1, 1, False), embed("b", "s", 2, 1, 1, True), pairs("d0", "a", "b", 2), "d AS (SELECT * FROM d0 WHERE d2 < 1e38)", near("n", "d", None), select="SELECT sid, i, rk, j, round(dist, 6) AS dist FROM n"),
-    "embeddings_knn": with_(f"d0 AS (SELECT CAST(a.vec_id AS INT) AS i, CAST(b.vec_id AS INT) AS j, {_EMB} AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 10 = 0 AND a.vec_id < 500 AND b.vec_id < 500)", f"d AS (SELECT i, j, CASE WHEN s = 0 THEN {FLT_MAX} ELSE s END AS d2 FROM d0)", near("n", "d", 3, "i"), weigh("l", "n", "i"), select="SELECT i, rk, j, round(dist, 5) AS dist, round(w, 5) AS w FROM l"),
+    "knn_relational": _knn(_DIST),
+    "knn_full_sort": with_(H, embed("a", "p", 2, 1, 1, False), embed("b", "p", 2, 1, 1, True), pairs("d0", "a", "b", 2), "d AS (SELECT * FROM d0 WHERE d2 < 1e38)", near("n", "d", None), select="SELECT sid, i, count(*) AS n, CAST(sum(CAST(rk AS BIGINT) * rk * (j + 1)) AS BIGINT) AS places, round(max(dist), 6) AS farthest FROM n GROUP BY sid, i"),
+    "embeddings_knn": with_(f"d0 AS (SELECT CAST(a.vec_id AS INT) AS i, CAST(b.vec_id AS INT) AS j, {_EMB} AS s FROM embeddings a JOIN embeddings b ON true)", f"d AS (SELECT i, j, CASE WHEN s = 0 THEN {FLT_MAX} ELSE s END AS d2 FROM d0)", near("n", "d", 3, "i"), weigh("l", "n", "i"), select="SELECT i, rk, j, round(dist, 5) AS dist, round(w, 5) AS w FROM l"),
     "lut_weights": with_(H, *lut("p", "p", 3, 1, 1, 4), select="SELECT sid, i, rk, idx, round(w, 6) AS w FROM l"),
+    "lut_relational": with_(H, *lut("p", "p", 3, 1, 1, 4), select="SELECT sid, i, rk, idx, round(w, 6) AS w FROM l"),
     "lookup_many": with_(H, "c AS (SELECT * FROM p WHERE sid = 'click')", *lut("c", "c", 2, 1, 1, 3), select="SELECT y.sid, l.i, round(sum(l.w * y.v), 6) AS pred FROM l JOIN p y ON y.t = l.idx GROUP BY ALL"),
     "simplex_self": with_(H, *lut("p", "p", 3, 1, 1, 4), look("x", "l", "p"), select=forecast(3, 1)),
     "simplex_holdout": with_(H, slice_("u", "p", 0, 360), slice_("o2", "p", 360, 720), *lut("u", "o2", 2, 1, 1, 3), look("x", "l", "u"), select=forecast(2, 1, "o2")),
@@ -170,18 +180,22 @@ ORACLES: dict[str, str] = {
     "simplex_multivar": with_(H, embed("a1", "p", 2, 1, 1, False), embed("b1", "p", 2, 1, 1, True), _block("a", 2, False), _block("b", 2, True), pairs("d", "a", "b", 4), near("n", "d", 3), weigh("l", "n"), "y2 AS (SELECT t, v FROM p WHERE sid = 'click')", look("x", "l", "y2", "l.i", ""), select="SELECT i, CAST(i + 2 AS INT) AS t, round(pred, 6) AS pred FROM x"),
     **{f"eval_simplex_e{E}": with_(ALL, *rhos("p", E, 1, ""), select="SELECT sid, round(rho, 6) AS rho FROM r") for E in (1, 2, 3)},
     "edim_by_type": best(5, H, 1),
-    "edim_relational": best(3, DAILY, 2),
+    "edim_relational": best(3, H, 2),
     "xmap_matrix": with_(H, *xmap("p"), select="SELECT lib_sid, tgt_sid, E, round(rho, 6) AS rho FROM m"),
-    "xmap_relational": with_(H, slice_("s", "p", 0, 240), *xmap("s"), select="SELECT lib_sid, tgt_sid, E, round(rho, 6) AS rho FROM m"),
+    "xmap_relational": with_(H, *xmap("p"), select="SELECT lib_sid, tgt_sid, E, round(rho, 6) AS rho FROM m"),
     "corr_matrix": with_(H, CORRS, select="SELECT lib_sid, tgt_sid, round(rho, 6) AS rho FROM c"),
+    "corr_relational": with_(DAILY, CORRS, select="SELECT lib_sid, tgt_sid, round(rho, 6) AS rho FROM c"),
     "corr_against": with_(DAILY, CORRS, select="SELECT lib_sid AS sid, round(rho, 6) AS rho FROM c WHERE tgt_sid = 'NO'"),
     "rho_diff": with_(H, *xmap("p"), CORRS, select="SELECT lib_sid, tgt_sid, round(m.rho - abs(c.rho), 6) AS rhodiff FROM m JOIN c USING (lib_sid, tgt_sid)"),
     "mae_mse": with_(H, select=f"SELECT round({corr('a.v', 'b.v')}, 6) AS corr, round(avg(abs(a.v - b.v)), 6) AS mae, round(avg((a.v - b.v) * (a.v - b.v)), 6) AS mse FROM p a JOIN p b ON a.t = b.t AND a.sid = 'click' AND b.sid = 'view'"),
-    "ccm_full_lib": with_(H, *ccm([240], 1, 3, 0, None), select="SELECT lib_size, round(rho, 6) AS rho FROM r"),
+    "ccm_full_lib": with_(H, *ccm([720], 1, 3, 0, None), select="SELECT lib_size, round(rho, 6) AS rho FROM r"),
     "ccm_sampled": with_(H, *ccm([40, 120], 3, 2, 0, None), select=TRIALS),
-    "ccm_approx": with_(H, *ccm([60, 120], 3, 2, 0, 37), select=TRIALS),
+    "ccm_approx": with_(H, *ccm([60, 120], 3, 2, 0, 117), select=TRIALS),
     "ccm_naive": with_(H, *ccm([40, 120], 2, 2, 1, None, naive=True), select=TRIALS),
     "smap_e1": smap_rows(1),
     "smap_e2": smap_rows(2),
-    "eval_smap": with_(H, *smap(1, [0.0, 0.5, 1.0]), select=f"SELECT theta, round({corr('x.pred', 'o.v')}, 4) AS rho FROM x JOIN s o ON o.t = x.i + 1 GROUP BY theta"),
+    "eval_smap": with_(H, *smap(1, [0.0, 0.5, 1.0]), select=smap_skill(1, 4, "x.sid, theta")),
+    "csv_roundtrip": with_(H, select="SELECT sid, t, v FROM p"),
+    "sawtooth_knn": with_(_SAWTOOTH, *lut("p", "p", 2, 1, 0, 3), select=_DIST),
+    "logistic_smap": with_(_LOGISTIC, *smap(2, [0.0, 1.0, 4.0]), select=smap_skill(2, 6, "theta")),
 }

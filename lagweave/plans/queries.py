@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +14,7 @@ from lagweave.operators import convergent, crossmap, dimension, neighbors
 from lagweave.operators import simplex as S
 from lagweave.operators import smap as M
 from lagweave.operators.embedding import embed, embed_block
+from lagweave.plans.config import shared_folder
 from lagweave.sources import panel as P
 
 HOURS = 720
@@ -37,10 +38,10 @@ def hourly_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
-    """Revenue by return flag and line status, 600 days from 1996 on."""
+    """Revenue by return flag and line status, from the first to the last day of the table."""
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_shipdate", "l_extendedprice", "l_returnflag", "l_linestatus")
-    lines = lines.where((F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp")) & (F.col("l_shipdate") < F.lit("1997-08-23").cast("timestamp")))
-    return P.regularize(lines, "l_shipdate", "1996-01-01 00:00:00", 600, 86400, cents("l_extendedprice"), F.concat("l_returnflag", "l_linestatus"))
+    first, steps = lines.agg(F.date_format(F.min("l_shipdate"), "yyyy-MM-dd 00:00:00"), F.date_diff(F.max("l_shipdate"), F.min("l_shipdate")) + 1).first()
+    return P.regularize(lines, "l_shipdate", first, steps, 86400, cents("l_extendedprice"), F.concat("l_returnflag", "l_linestatus"))
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
@@ -48,30 +49,31 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def one(panel: DataFrame, sid: str, a: int = 0, b: int = HOURS) -> DataFrame:
-    return P.slice_panel(P.pick(panel, sid), a, b)
-
-
 def delay_embed_e3(spark, sf):
     e = embed(hourly(spark, sf), 3, 1, 1)
     return e.select("sid", "j", "idx", *[F.col("emb")[k].alias(f"e{k}") for k in range(3)])
 
 
+def digest(pairs: DataFrame) -> DataFrame:
+    """What all distances of each row come to. Whole numbers are added up, so the order does not matter."""
+    return pairs.groupBy("sid", "i").agg(F.count("*").alias("pairs"), F.sum(F.floor("d2")).alias("total"), F.sum(F.floor("d2") * F.col("idx")).alias("moment"), F.round(F.min("d2"), 6).alias("least"), F.round(F.max("d2"), 6).alias("most"))
+
+
 def pairwise_dist(spark, sf):
-    p = one(hourly(spark, sf), "click", 0, 120)
-    return rounded(neighbors.pairwise(embed(p, 2, 1, 0, False), embed(p, 2, 1, 1), 2, mask=False), "d2").drop("sid")
+    p = hourly(spark, sf)
+    return digest(neighbors.pairwise(embed(p, 2, 1, 0, False), embed(p, 2, 1, 1), 2, mask=False))
 
 
 def degenerate_mask(spark, sf):
-    p = P.slice_panel(hourly(spark, sf), 0, 120)
+    p = hourly(spark, sf)
     pairs = neighbors.pairwise(embed(p, 1, 1, 0, False), embed(p, 1, 1, 1), 1)
     return pairs.groupBy("sid").agg(F.sum((F.col("d2") > 1e38).cast("long")).alias("masked"), F.count("*").alias("pairs"))
 
 
 def multivar_dist(spark, sf):
-    p = P.slice_panel(P.pick(hourly(spark, sf), "click", "view"), 0, 100)
+    p = P.pick(hourly(spark, sf), "click", "view")
     a, b = (embed_block(p, ["click", "view"], 2, 1, 1, ahead) for ahead in (False, True))
-    return rounded(neighbors.pairwise(a, b, 4, mask=False), "d2").drop("sid")
+    return digest(neighbors.pairwise(a, b, 4, mask=False))
 
 
 def knn_topk(spark, sf):
@@ -79,36 +81,43 @@ def knn_topk(spark, sf):
     return rounded(neighbors.knn(h, h, 2, 1, 1, 3), "dist")
 
 
-def knn_kernel(spark, sf):
+def knn_relational(spark, sf):
     h = hourly(spark, sf)
-    return rounded(neighbors.knn(h, h, 2, 1, 1, 3, "kernel"), "dist")
+    return rounded(neighbors.knn(h, h, 2, 1, 1, 3, "relational"), "dist")
 
 
 def knn_full_sort(spark, sf):
-    p = P.slice_panel(hourly(spark, sf), 0, 80)
+    """All neighbours of each row in order, told by a sum that every change of the order changes."""
+    p = hourly(spark, sf)
     pairs = neighbors.pairwise(embed(p, 2, 1, 1, False), embed(p, 2, 1, 1), 2)
-    return neighbors.nearest(pairs.where(F.col("d2") < 1e38), None).select("sid", "i", "rk", "j", F.round("dist", 6).alias("dist"))
+    ranked = neighbors.nearest(pairs.where(F.col("d2") < 1e38), None)
+    place = F.col("rk").cast("long") * F.col("rk") * (F.col("j") + 1)
+    return ranked.groupBy("sid", "i").agg(F.count("*").alias("n"), F.sum(place).alias("places"), F.round(F.max("dist"), 6).alias("farthest"))
 
 
 def embeddings_knn(spark, sf):
-    """Ready-made vectors instead of delay embeddings: the 3 nearest among all, of every 10th vector, weighted."""
+    """Ready-made vectors instead of delay embeddings: the 3 nearest of each, weighted."""
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     v = v.select(F.lit("x").alias("sid"), F.col("vec_id").cast("int").alias("j"), F.col("vec_id").cast("int").alias("idx"), F.col("embedding").cast("array<double>").alias("emb"))
-    lut = S.weigh(neighbors.nearest(neighbors.pairwise(v.where("j % 10 = 0"), v, 64), 3), ["i"])
+    lut = S.weigh(neighbors.nearest(neighbors.pairwise(v, v, 64), 3), ["i"])
     return lut.select("i", "rk", "j", F.round("dist", 5).alias("dist"), F.round("w", 5).alias("w"))
 
 
 def lut_weights(spark, sf):
     h = hourly(spark, sf)
-    return S.weigh(neighbors.knn(h, h, 3, 1, 1, 4), ["sid", "i"]).select("sid", "i", "rk", "idx", F.round("w", 6).alias("w"))
+    return S.neighbour_weights(h, h, 3, 1, 1).select("sid", "i", "rk", "idx", F.round("w", 6).alias("w"))
+
+
+def lut_relational(spark, sf):
+    h = hourly(spark, sf)
+    return S.neighbour_weights(h, h, 3, 1, 1, strategy="relational").select("sid", "i", "rk", "idx", F.round("w", 6).alias("w"))
 
 
 def lookup_many(spark, sf):
     """One neighbour table of one library looks up every target at once."""
     h = hourly(spark, sf)
     lib = P.pick(h, "click")
-    lut = S.weigh(neighbors.knn(lib, lib, 2, 1, 1, 3), ["sid", "i"]).drop("sid")
-    return rounded(S.lookup(lut, h, ["sid", "i"]), "pred")
+    return rounded(S.lookup_targets(lib, lib, h, 2, 1, 1), "pred")
 
 
 def prediction(df: DataFrame) -> DataFrame:
@@ -151,7 +160,7 @@ def edim_by_type(spark, sf):
 
 
 def edim_relational(spark, sf):
-    return rounded(dimension.optimal_e(daily(spark, sf), 3, 2, 1, "relational"), "rho")
+    return rounded(dimension.optimal_e(hourly(spark, sf), 3, 2, 1, "relational"), "rho")
 
 
 def fixed_dims(panel: DataFrame) -> DataFrame:
@@ -165,7 +174,7 @@ def xmap_matrix(spark, sf):
 
 
 def xmap_relational(spark, sf):
-    h = P.slice_panel(hourly(spark, sf), 0, 240)
+    h = hourly(spark, sf)
     return rounded(crossmap.xmap(h, fixed_dims(h), strategy="relational"), "rho")
 
 
@@ -173,6 +182,10 @@ def corr_matrix(spark, sf):
     return rounded(stats.corr_matrix(hourly(spark, sf)), "rho")
 
 
+def corr_relational(spark, sf):
+    return rounded(stats.corr_matrix(daily(spark, sf), "relational"), "rho")
+
+
 def corr_against(spark, sf):
     return rounded(stats.corr_against(daily(spark, sf), "NO"), "rho")
 
@@ -186,54 +199,54 @@ def mae_mse(spark, sf):
     return rounded(stats.errors_between(hourly(spark, sf), "click", "view"), "corr", "mae", "mse")
 
 
-def _ccm_pair(spark, sf, hours: int):
+def _ccm_pair(spark, sf):
     h = hourly(spark, sf)
-    return one(h, "click", 0, hours), one(h, "view", 0, hours)
+    return P.pick(h, "click"), P.pick(h, "view")
 
 
 def ccm_full_lib(spark, sf):
-    a, b = _ccm_pair(spark, sf, 240)
-    every = a.select(F.lit(240).alias("lib_size"), F.lit(0).alias("trial"), F.col("t").alias("idx"))
+    a, b = _ccm_pair(spark, sf)
+    every = a.select(F.lit(HOURS).alias("lib_size"), F.lit(0).alias("trial"), F.col("t").alias("idx"))
     return rounded(convergent.mean_skill(convergent.ccm_trials(a, b, every, 3, 1, 0)), "rho")
 
 
 def ccm_sampled(spark, sf):
-    a, b = _ccm_pair(spark, sf, 240)
+    a, b = _ccm_pair(spark, sf)
     samples = sampling.portable_samples(a.select(F.col("t").alias("idx")), [40, 120], 3)
     return rounded(convergent.ccm_trials(a, b, samples, 2, 1, 0), "rho")
 
 
 def ccm_approx(spark, sf):
-    a, b = _ccm_pair(spark, sf, 240)
+    a, b = _ccm_pair(spark, sf)
     samples = sampling.portable_samples(a.select(F.col("t").alias("idx")), [60, 120], 3)
-    keep = convergent.candidates_kept(240, 239, [60, 120], 2, 0.99)
+    keep = convergent.candidates_kept(HOURS, HOURS - 1, [60, 120], 2, 0.99)
     return rounded(convergent.ccm_trials(a, b, samples, 2, 1, 0, keep), "rho")
 
 
 def ccm_naive(spark, sf):
-    a, b = _ccm_pair(spark, sf, 240)
+    a, b = _ccm_pair(spark, sf)
     rows = embed(a, 2, 1, 1).select(F.col("j").alias("idx"))
     return rounded(convergent.ccm_naive_trials(a, b, sampling.portable_samples(rows, [40, 120], 2), 2, 1, 1), "rho")
 
 
 def ccm_pcg(spark, sf):
     """Seeded samples and the kernel form; the random stream has no SQL form."""
-    a, b = (P.to_arrays(x) for x in _ccm_pair(spark, sf, 240))  # 240 values each
-    drawn = sampling.draw_libraries(240, [20, 60, 180], 10, 42)
+    a, b = (P.to_arrays(x) for x in _ccm_pair(spark, sf))  # HOURS values each
+    drawn = sampling.draw_libraries(HOURS, [20, 60, 180, 540], 10, 42)
     return rounded(convergent.mean_skill(convergent.ccm_kernel(spark, a["click"], b["view"], drawn, 3, 1, 0)), "rho")
 
 
 def smap_query(E: int):
     def query(spark, sf):
-        p = one(hourly(spark, sf), "view", 0, 300)
+        p = hourly(spark, sf)
         return rounded(M.smap(p, p, None, E, 1, 1, [0.0, 1.0]), "pred", "actual", digits=4)
 
     return query
 
 
 def eval_smap(spark, sf):
-    p = one(hourly(spark, sf), "view", 0, 300)
-    return rounded(S.skill(M.smap(p, p, None, 1, 1, 1, [0.0, 0.5, 1.0]), ["theta"]), "rho", digits=4)
+    p = hourly(spark, sf)
+    return rounded(S.skill(M.smap(p, p, None, 1, 1, 1, [0.0, 0.5, 1.0]), ["sid", "theta"]), "rho", digits=4)
 
 
 def panel_slice(spark, sf):
@@ -246,8 +259,7 @@ def panel_wide(spark, sf):
 
 def csv_roundtrip(spark, sf):
     """Writes the hourly panel as wide CSV and reads it back."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="panel")
-    path = f"{root.rstrip('/')}/panel_csv"
+    path = f"{shared_folder(spark)}/panel_csv_{uuid.uuid4().hex}"
     P.write_csv(panel_wide(spark, sf), path)
     return P.load_csv(spark, path, "t")
 
@@ -266,12 +278,12 @@ def sawtooth_knn(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "panel_hourly": hourly, "panel_daily_revenue": daily, "panel_slice": panel_slice, "panel_wide": panel_wide,
     "delay_embed_e3": delay_embed_e3, "pairwise_dist": pairwise_dist, "degenerate_mask": degenerate_mask, "multivar_dist": multivar_dist,
-    "knn_topk": knn_topk, "knn_kernel": knn_kernel, "knn_full_sort": knn_full_sort, "embeddings_knn": embeddings_knn,
-    "lut_weights": lut_weights, "lookup_many": lookup_many,
+    "knn_topk": knn_topk, "knn_relational": knn_relational, "knn_full_sort": knn_full_sort, "embeddings_knn": embeddings_knn,
+    "lut_weights": lut_weights, "lut_relational": lut_relational, "lookup_many": lookup_many,
     "simplex_self": simplex_self, "simplex_holdout": simplex_holdout, "simplex_crossmap": simplex_crossmap, "simplex_multivar": simplex_multivar,
     "eval_simplex_e1": eval_simplex(1), "eval_simplex_e2": eval_simplex(2), "eval_simplex_e3": eval_simplex(3),
     "edim_by_type": edim_by_type, "edim_relational": edim_relational, "xmap_matrix": xmap_matrix, "xmap_relational": xmap_relational,
-    "corr_matrix": corr_matrix, "corr_against": corr_against, "rho_diff": rho_diff, "mae_mse": mae_mse,
+    "corr_matrix": corr_matrix, "corr_relational": corr_relational, "corr_against": corr_against, "rho_diff": rho_diff, "mae_mse": mae_mse,
     "ccm_full_lib": ccm_full_lib, "ccm_sampled": ccm_sampled, "ccm_approx": ccm_approx, "ccm_naive": ccm_naive, "ccm_pcg": ccm_pcg,
     "smap_e1": smap_query(1), "smap_e2": smap_query(2), "eval_smap": eval_smap,
     "csv_roundtrip": csv_roundtrip, "logistic_smap": logistic_smap, "sawtooth_knn": sawtooth_knn,

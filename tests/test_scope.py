@@ -11,8 +11,8 @@ def test_embeddings_knn(spark, tmp_path):
     rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
     rows.write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {(r["i"], r["rk"]): (r["j"], r["dist"], r["w"]) for r in QUERIES["embeddings_knn"](spark, str(tmp_path)).collect()}
-    assert len(got) == 3 * n // 10
-    for i in range(0, n, 10):
+    assert len(got) == 3 * n
+    for i in range(n):
         dist = np.sqrt(((x.astype(float) - x[i]) ** 2).sum(axis=1))
         dist[i] = np.inf
         best = np.argsort(dist, kind="stable")[:3]
