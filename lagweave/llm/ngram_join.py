@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lagweave.llm.bpe import id_type
-from lagweave.llm.common import claim, cut, cut_in_loop, maybe_repeated, release, remembers, repeated_bitmap, spread_join
+from lagweave.llm.common import claim, cut, cut_in_loop, hidden, maybe_repeated, release, remembers, repeated_bitmap, spread_join
 from lagweave.plans.ship import ship
 
 SHINGLE = 5
@@ -529,8 +529,14 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     """The rows of df of one document of each component, that of least id. Only texts that may go travel.
 
     Rows that repeat an id, or have none, are told apart by their sets: of those with the component's least id one of the
-    least set stays, and no other row with that id is touched.
+    least set stays, and no other row with that id is touched. Rows without words all stay; an empty table gives an empty
+    result. All columns are passed on, whatever their names.
     """
+    x, name = hidden(df)
+    return _dedup(x, name[doc_id], name[text]).toDF(*df.columns)
+
+
+def _dedup(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     x = cut(_found(df, doc_id, text, 75).select("_id", "n", "sid", "comp", "component_id"))
     first = F.col("_id").eqNullSafe(F.col("component_id"))
     # Of a pair (id, set) _stay says whether all rows stay (2), one of them (1) or none (0).

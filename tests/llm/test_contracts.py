@@ -280,7 +280,7 @@ def test_clashing_names(spark):
     texts = ["one two three", "one two three", None, "l1 a\nl2 b\nl3 c\nl4 d", "x\nl1 a\nl2 b\nl3 c\ny", "one two three"]
     names = ["doc_id", "text", "source", *CLASHES]
     df = spark.createDataFrame([(k, t, "s", *CLASHES.values()) for k, t in enumerate(texts)], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES))
-    cases = {exact_dedup.mark: exact_dedup.RESULTS, exact_dedup.dedup: (), line_dedup.dedup_lines: line_dedup.RESULTS, quality.judge: (*quality.METRICS, "base_failed", "failed_rules", "kept"), quality.keep: (), mixing.mix: ()}
+    cases = {exact_dedup.mark: exact_dedup.RESULTS, exact_dedup.dedup: (), line_dedup.dedup_lines: line_dedup.RESULTS, quality.judge: (*quality.METRICS, "base_failed", "failed_rules", "kept"), quality.keep: (), mixing.mix: (), ngram_join.dedup: ()}
     for op, results in cases.items():
         out = op(df)
         own = [c for c in names if c not in results and c != "text"]
@@ -315,3 +315,70 @@ def test_list_blocks_fit():
         for key in np.unique(ngram_join.keys(s) >> np.uint64(60) << np.uint64(60)).view(np.int64):
             assert 2 <= ngram_join.block_of(key) <= ngram_join.LIST_BLOCK
             assert ngram_join.block_of(key) * sketch <= max(ngram_join.LIST_BYTES, 2 * sketch)
+
+
+def keeps(text):
+    """The quality rules in plain code."""
+    words, lines = re.findall(r"[^\x20\x09-\x0D]+", text or ""), [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n = len(words)
+    grams = [tuple(words[k : k + 5]) for k in range(n - 4)]
+    often = collections.Counter(grams)
+    repeated = {k + j for k, g in enumerate(grams) if often[g] > 1 for j in range(5)}
+    if n < 10 or 100 * len(repeated) > 20 * n or sum(c in "#*$%&|<>" for c in text) / n > 0.3:
+        return False
+    if n >= 20 and not 2 <= sum(map(len, words)) / n <= 15:
+        return False
+    return n < 40 or (sum(w in quality.STOP_WORDS for w in words) / n >= 0.02 and (len(lines) - len(set(lines))) / len(lines) <= 0.5)
+
+
+def shingle_set(text):
+    w = text.encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+
+def test_pipeline_stages(spark):
+    """Every stage on what the one before kept, and the whole, against plain code."""
+    import corpus_pipeline as pipeline
+
+    docs = table(spark, "documents")
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    stages = dict(pipeline.STAGES)
+    assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "mix_sources", "byte_bpe"]
+
+    def ids(df):
+        assert sorted(df.columns) == sorted(docs.columns)
+        return [r["doc_id"] for r in df.collect()]
+
+    good = stages["quality_rules"](spark, docs, SMALL)
+    want = sorted(k for k, t in text.items() if keeps(t))
+    assert sorted(ids(good)) == want and 0 < len(want) < len(text)
+
+    single = stages["exact_dedup"](spark, good, SMALL)
+    want = sorted({text[k]: k for k in want}.values())
+    assert sorted(ids(single)) == want
+
+    sets, comp = {k: shingle_set(text[k]) for k in want}, {k: k for k in want}
+    for a in want:
+        for b in want:
+            if a < b and comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
+                comp = {k: new if c == old else c for k, c in comp.items()}
+    apart = stages["near_dedup"](spark, single, SMALL)
+    want = sorted(set(comp.values()))
+    assert sorted(ids(apart)) == want
+
+    taken = collections.Counter(ids(stages["mix_sources"](spark, apart, SMALL)))
+    size = {k: len(re.findall(r"[^\x20\x09-\x0D]+", text[k])) for k in want}
+    names = sorted({source[k] for k in want}, key=lambda s: (s is None, s or ""))
+    totals = [sum(size[k] for k in want if source[k] == s) for s in names]
+    for s, total, target in zip(names, totals, water(totals, [1 + k % 3 for k in range(len(names))])):
+        own = [k for k in want if source[k] == s]
+        assert all(math.floor(target / total) <= taken[k] <= math.ceil(target / total) for k in own)
+        assert abs(sum(taken[k] * size[k] for k in own) - target) <= 2 * max(size[k] for k in own)
+
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
+    out = pipeline.run(spark, SMALL).select("doc_id", "ids", "decoded_sha256").collect()
+    assert collections.Counter(r["doc_id"] for r in out) == taken
+    for r in out:
+        assert list(r["ids"]) == encoding.encode_ordinary(text[r["doc_id"]]) and r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest()
