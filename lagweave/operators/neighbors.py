@@ -88,6 +88,39 @@ def nearest_kernel(lib: DataFrame, pred: DataFrame, E: int, tau: int, Tp: int, k
     return tasks.mapInPandas(run, "sid string, i int, rk int, j int, idx int, dist double" + (", w double" if weighted else ""))
 
 
+#: Vectors of a tile.
+TILE = 1024
+
+
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(i, rk, j, dist) from ready-made vectors (j, emb): the k least by (d2, j) of each query.
+
+    Tiles of queries meet tiles of vectors, and a task gives out the k least of each query; the k least of these remain.
+    """
+    def tiles(df: DataFrame) -> int:
+        return max(1, -(-df.count() // TILE))
+
+    na, nb = tiles(queries), tiles(vectors)
+    slot = lambda n: F.pmod(F.xxhash64("j"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.col("j").alias("i"), F.col("emb").alias("p"), slot(na).alias("_a"), every(nb).alias("_b"))
+    right = vectors.select(F.col("j").alias("v"), F.col("emb").alias("q"), every(na).alias("_a2"), slot(nb).alias("_b2"))
+
+    ship(queries.sparkSession)
+    def run(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"i": pd.Series(dtype="int32"), "j": pd.Series(dtype="int32"), "d2": pd.Series(dtype=float)})
+        if len(asked) and len(known):
+            known = known.sort_values("v")
+            d2 = K.squared_distances(np.stack(asked["p"]), np.stack(known["q"]))
+            at = K.smallest(d2, min(k, len(known)))
+            out = pd.DataFrame({"i": np.repeat(asked["i"].to_numpy(), at.shape[1]), "j": known["v"].to_numpy()[at.ravel()], "d2": np.take_along_axis(d2, at, 1).ravel()})
+        return out
+
+    found = left.groupBy("_a", "_b").cogroup(right.groupBy("_a2", "_b2")).applyInPandas(run, "i int, j int, d2 double")
+    ranked = found.withColumn("rk", F.row_number().over(Window.partitionBy("i").orderBy("d2", "j"))).where(F.col("rk") <= k)
+    return ranked.select("i", "rk", "j", F.sqrt("d2").alias("dist"))
+
+
 def knn(lib: DataFrame, pred: DataFrame, E: int, tau: int = 1, Tp: int = 0, top_k: int | None = None, strategy: str = "kernel") -> DataFrame:
     """(sid, i, rk, j, idx, dist) for every series that both panels have."""
     require(top_k is None or top_k > 0, "top_k must be greater than zero")

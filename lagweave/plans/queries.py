@@ -97,9 +97,8 @@ def knn_full_sort(spark, sf):
 
 def embeddings_knn(spark, sf):
     """Ready-made vectors instead of delay embeddings: the 3 nearest of each, weighted."""
-    v = spark.read.parquet(f"{sf}/embeddings.parquet")
-    v = v.select(F.lit("x").alias("sid"), F.col("vec_id").cast("int").alias("j"), F.col("vec_id").cast("int").alias("idx"), F.col("embedding").cast("array<double>").alias("emb"))
-    lut = S.weigh(neighbors.nearest(neighbors.pairwise(v, v, 64), 3), ["i"])
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").cast("int").alias("j"), F.col("embedding").cast("array<double>").alias("emb"))
+    lut = S.weigh(neighbors.nearest_vectors(v, v, 3), ["i"])
     return lut.select("i", "rk", "j", F.round("dist", 5).alias("dist"), F.round("w", 5).alias("w"))
 
 
