@@ -43,9 +43,21 @@ def cut_in_loop(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets the files of shuffles and checkpoints that nothing refers to any more go, and the plans that led to them.
 
-    Spark removes them when the driver's garbage is collected, which it asks for only every half an hour.
+    Spark removes them when the driver's garbage is collected, which it asks for only every half an hour. Before that the
+    JVM must know what Python has dropped: Py4J tells it from a thread that sleeps for up to a second, so it is told here.
     """
     gc.collect()
+    dropped = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    while dropped:
+        try:
+            item = dropped.pop()
+        except IndexError:
+            break
+        if not isinstance(item, tuple):  # the mark that ends the thread
+            dropped.append(item)
+            break
+        client, target = item
+        client.garbage_collect_object(target, False)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -42,6 +42,9 @@ SKETCH_BITS = 1024
 #: block against block.
 LIST_BLOCK = 16_384
 LIST_BYTES = 32_000_000
+#: Sets in a row of a list on its way to the lists of the same first set, lists that are open there at once, and the size
+#: up to which lists are joined whatever they have in common.
+LIST_ROW, OPEN_LISTS, SMALL_LIST = 1024, 8, 64
 #: A key's highest bits hold its band.
 BAND_BITS = 4
 #: Words whose hash a worker remembers.
@@ -224,10 +227,12 @@ def grouped(batches, n_columns: int, block=lambda key: LIST_BLOCK) -> Iterator[t
 
 
 def shared_lists(key_rows: DataFrame) -> DataFrame:
-    """(gid, sid): lists of at least two sets that share a key, each distinct list once.
+    """(gid, sid): lists of at least two sets; any two sets that share a key are in one list at least.
 
-    Equal lists come of many keys, as near copies share most of theirs; a list's id is its hash. Keys are sorted and
-    streamed, so no list is held whole. A list of several blocks becomes a list for each pair of its blocks.
+    Keys are sorted and streamed, so no list is held whole. Equal lists come of many keys, as near copies share most of
+    theirs, and of a large group of near copies nearly as many different ones, each without a few of the group; such lists
+    mostly begin with the same set and are joined (see joined_lists), so that a set is not sent on once for each key. A list
+    of several blocks becomes a list for each pair of its blocks.
     """
     spark = key_rows.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -247,7 +252,9 @@ def shared_lists(key_rows: DataFrame) -> DataFrame:
                 given.add(gid)
                 if len(given) > 1_000_000:
                     given.clear()
-            rows.append((gid, piece, sids.tolist()))
+            step = LIST_ROW if piece < 0 else len(sids)
+            for part, at in enumerate(range(0, len(sids), step)):
+                rows.append((gid, piece, int(sids[0]), len(sids), part, block_of(key[0]), sids[at : at + step].tolist()))
             size += len(sids)
             if size > 100_000:
                 yield _lists(rows)
@@ -255,12 +262,69 @@ def shared_lists(key_rows: DataFrame) -> DataFrame:
         if rows:
             yield _lists(rows)
 
-    lists = cut(ordered.mapInArrow(run, "gid long, piece int, sids array<long>"))
-    plain = lists.where("piece < 0").groupBy("gid").agg(F.first("sids").alias("sids"))
+    def join(batches):
+        found: list[np.ndarray] = []
+        for x in joined_lists(_plain_lists(batches)):
+            found.append(x)
+            if sum(map(len, found)) > 100_000:
+                yield _members(found)
+                found = []
+        if found:
+            yield _members(found)
+
+    lists = cut(ordered.mapInArrow(run, "gid long, piece int, hub long, size int, part int, room int, sids array<long>"))
+    plain = lists.where("piece < 0").drop("piece").repartition(n, "hub").sortWithinPartitions("hub", F.desc("size"), "gid", "part")
+    plain = plain.select("hub", "gid", "part", "room", "sids").mapInArrow(join, "gid long, sid long")
     blocks = lists.where("piece >= 0")
     a, b = (blocks.select(F.col("gid").alias("key"), F.col("piece").alias(f"p{k}"), F.col("sids").alias(f"s{k}")) for k in (0, 1))
-    crossed = a.join(b, "key").where("p0 < p1").select(F.xxhash64("key", "p0", "p1").alias("gid"), F.concat("s0", "s1").alias("sids"))
-    return plain.unionByName(crossed).select("gid", F.explode("sids").alias("sid"))
+    crossed = a.join(b, "key").where("p0 < p1").select(F.xxhash64("key", "p0", "p1").alias("gid"), F.explode(F.concat("s0", "s1")).alias("sid"))
+    return plain.unionByName(crossed)
+
+
+def _plain_lists(batches) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(hub, room, sids) of each list, of rows (hub, gid, part, room, sids) sorted by list and part, which may repeat."""
+    last, held, room = None, [], 0
+    for b in batches:
+        for hub, gid, part, r, sids in zip(*(c.to_pylist() for c in b.columns[:4]), b.column(4)):
+            if last is not None and (hub, gid) != last[:2]:
+                yield last[0], room, np.concatenate(held)
+                last, held = None, []
+            if last is None:
+                room = r
+            room = min(room, r)
+            if last is None or part != last[2]:
+                held.append(sids.values.to_numpy())
+                last = (hub, gid, part)
+    if last is not None:
+        yield last[0], room, np.concatenate(held)
+
+
+def joined_lists(lists: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[np.ndarray]:
+    """Lists that hold each of the given ones, (hub, room, sids) sorted by hub, in one of theirs.
+
+    Lists of one hub are joined while the joined one has room and comparing all its sets with each other costs no more
+    than doing so in each list, or is cheap.
+    """
+    current, held = None, []
+    for hub, room, sids in lists:
+        if hub != current:
+            yield from (x for x, _, _ in held)
+            current, held = hub, []
+        for k, (x, work, own) in enumerate(held):
+            both = np.union1d(x, sids)
+            if len(both) <= min(room, own) and len(both) ** 2 <= max(work + len(sids) ** 2, SMALL_LIST**2):
+                held[k] = (both, work + len(sids) ** 2, min(room, own))
+                break
+        else:
+            if len(held) == OPEN_LISTS:
+                yield held.pop(0)[0]
+            held.append((sids, len(sids) ** 2, room))
+    yield from (x for x, _, _ in held)
+
+
+def _members(found: list[np.ndarray]) -> pa.RecordBatch:
+    gids = np.repeat(np.array([set_id(x) for x in found], dtype=np.int64), [len(x) for x in found])
+    return pa.RecordBatch.from_arrays([pa.array(gids), pa.array(np.concatenate(found), pa.int64())], names=["gid", "sid"])
 
 
 def _pairs_only(batches):
@@ -306,7 +370,8 @@ def _pairs_only(batches):
 
 
 def _lists(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["gid", "piece", "sids"])
+    kinds = {"gid": pa.int64(), "piece": pa.int32(), "hub": pa.int64(), "size": pa.int32(), "part": pa.int32(), "room": pa.int32(), "sids": pa.list_(pa.int64())}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
 
 
 class Sketches:
@@ -482,7 +547,10 @@ def _found(df: DataFrame, doc_id: str, text: str, threshold: int) -> DataFrame:
     rows = cut(set_table(df, doc_id, text))
     classes = rows.where("n > 0").groupBy("sid").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("rows"))
     classes = cut(classes)
-    members = cut(shared_lists(key_table(df, text)))
+    lists = shared_lists(key_table(df, text))
+    release(df.sparkSession)
+    members = cut(lists)
+    del lists
     release(df.sparkSession)
     sketched = members.join(classes.select("sid", "n", "sketch"), "sid")
 

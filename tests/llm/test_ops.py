@@ -12,6 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from lagweave.llm import bpe, exact_dedup, license_scan, line_dedup, mixing, ngram_join, oracles, quality, queries, token_counts, toxicity, url_filter
+from lagweave.llm.common import release
 from lagweave.llm.pretokens import read_ranks
 from tests.oracle import differences
 
@@ -197,6 +198,56 @@ def test_long_lists(spark):
     assert (links.groupby("g").apply(lambda x: len(set(x.a) | set(x.b)), include_groups=False) == sizes).all()
 
 
+def test_lists_of_near_copies(spark):
+    """A large group of near copies sends each set on a few times, not once for each key; sets that share a key still meet."""
+    rng = random.Random(8)
+    rows = [(key, sid) for key in range(100) for sid in range(300) if rng.random() < 0.85]
+    rows += [(1000 + key, sid) for key in range(40) for sid in rng.sample(range(2000), rng.choice([1, 2, 3, 70, 200]))]
+    lists = {}
+    for r in ngram_join.shared_lists(spark.createDataFrame(rows, "key long, sid long")).collect():
+        lists.setdefault(r["gid"], set()).add(r["sid"])
+    sharing = {}
+    for key, sid in rows:
+        sharing.setdefault(key, set()).add(sid)
+    assert all(any(s <= x for x in lists.values()) for s in sharing.values() if len(s) > 1)
+    assert sum(len(x) for x in lists.values()) < 0.5 * len(rows)
+
+
+def test_joined_lists(monkeypatch):
+    """Each list is in one of the joined lists of its hub, none is over the room of a list in it, and rows that repeat count once."""
+    monkeypatch.setattr(ngram_join, "SMALL_LIST", 4)
+    monkeypatch.setattr(ngram_join, "OPEN_LISTS", 2)
+    rng = random.Random(9)
+    for _ in range(300):
+        given = {}
+        for gid in range(rng.randrange(1, 30)):
+            hub, n = rng.randrange(3), rng.randrange(2, 12)
+            given[hub, gid] = (rng.choice([12, 14, 20]), [hub, *sorted(rng.sample(range(3, 25), n - 1))])
+        rows = [(hub, gid, part, room, sids[at : at + 3]) for (hub, gid), (room, sids) in sorted(given.items()) for part, at in enumerate(range(0, len(sids), 3)) for _ in range(rng.choice([1, 1, 2]))]
+        batches, at = [], 0
+        for n in cuts(rng, len(rows)):
+            cols = [[r[c] for r in rows[at : at + n]] for c in range(5)]
+            batches.append(pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.list_(pa.int64()))], names=["hub", "gid", "part", "room", "sids"]))
+            at += n
+        whole = list(ngram_join._plain_lists(batches))
+        assert [(hub, room, x.tolist()) for hub, room, x in whole] == [(hub, room, sids) for (hub, _), (room, sids) in sorted(given.items())]
+        out = [x.tolist() for x in ngram_join.joined_lists(iter(whole))]
+        assert all(len(x) == len(set(x)) <= 20 for x in out)
+        for room, sids in given.values():
+            assert any(set(sids) <= set(x) and len(x) <= room for x in out)
+
+
+def test_release_is_prompt(spark):
+    """What Python has dropped is gone from the JVM when release returns, not when Py4J's thread wakes."""
+    jvm = spark.sparkContext._jvm
+    for _ in range(5):
+        dropped = [jvm.java.util.ArrayList() for _ in range(20)]
+        seen = [jvm.java.lang.ref.WeakReference(x) for x in dropped]
+        del dropped
+        release(spark)
+        assert all(x.get() is None for x in seen[:-1])
+
+
 def test_line_dedup(hard, empty, spark):
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(hard).where("doc_id in (1, 14, 15)").collect()}
     assert got[15]["text"] == "l0\nzz" and got[15]["n_removed"] == 4 and got[14]["n_removed"] == 0 and got[1]["text"] is None
