@@ -29,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.llm.common import claim, remembers
+from lagweave.llm.common import claim, remembers, trim
 from lagweave.llm.pretokens import Splitter, foreign_characters, read_ranks
 from lagweave.plans.ship import ship
 
-#: Characters of text whose words go to DuckDB together, and bytes of distinct words in one recursive query.
-CHUNK_CHARS = 3_000_000
-QUERY_BYTES = 300_000
+#: Characters of text whose words go to DuckDB together, bytes of distinct words in one recursive query, which keeps the
+#: rows of all its steps, and words that are put together at once. They bound a worker's memory; the ids are the same.
+CHUNK_CHARS = 1_000_000
+QUERY_BYTES = 100_000
+TAKE_WORDS = 50_000
 #: Words that a worker remembers between chunks, about.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 # One step contracts the leftmost pair of least rank of each word. `live` words still have work; a word in which no
 # pair is in the merge table is given out as it is. Positions stay without gaps, so neighbours are found by a hash join.
@@ -172,9 +174,14 @@ class Ragged:
     def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values end to end, lengths) of the numbered arrays."""
         lengths = self.length[numbers]
-        at = np.repeat(self.start[numbers] - (np.cumsum(lengths) - lengths), lengths)
-        at += np.arange(len(at))
-        return self.flat[at], lengths
+        out, done = np.empty(int(lengths.sum()), self.flat.dtype), 0
+        for lo in range(0, len(numbers), TAKE_WORDS):  # places take 8 bytes for each value
+            n = lengths[lo : lo + TAKE_WORDS]
+            at = np.repeat(self.start[numbers[lo : lo + TAKE_WORDS]] - (np.cumsum(n) - n), n)
+            at += np.arange(len(at))
+            out[done : done + len(at)] = self.flat[at]
+            done += len(at)
+        return out, lengths
 
 
 class Coder:
@@ -265,6 +272,7 @@ class Coder:
             total = np.concatenate([[0], np.cumsum(lengths)])
             out.append((np.concatenate([[0], total[ends]]).astype(np.int32), flat))
         (ids_at, ids), (bytes_at, body) = out
+        trim()
         return pa.ListArray.from_arrays(pa.array(ids_at), pa.array(ids)), pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bytes_at), pa.py_buffer(np.ascontiguousarray(body))])
 
 
@@ -315,8 +323,7 @@ def encode(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text:
         key, ranks, split = shared.value
         c = coder(key, ranks)
         for ids, texts in chunks(batches, CHUNK_CHARS):
-            coded, decoded = c.code(split, texts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, type=id_type(kind)), coded, decoded], names=["_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=id_type(kind)), *c.code(split, texts)], names=["_id", "ids", "decoded"])
 
     out = x.mapInArrow(run, f"_id {kind.simpleString()}, ids array<int>, decoded binary")
     return out.withColumnRenamed("_id", doc_id)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,17 @@ def claim(owner: str) -> None:
         for clear in _CACHES:
             clear()
         gc.collect()
+        trim()
+
+
+_MALLOC_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Gives the system back what the allocators of a worker hold and nothing uses; of C libraries only glibc can be asked to."""
+    pa.default_memory_pool().release_unused()
+    if _MALLOC_TRIM is not None:
+        _MALLOC_TRIM(0)
 
 
 def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -6,6 +6,8 @@ import math
 import random
 import re
 import time
+import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -263,6 +265,26 @@ def test_bpe_strange_vocabulary():
         assert c.code(regex.compile(r"[\s\S]+").findall, texts)[0].to_pylist() == [own.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_memory():
+    """A worker's memory: putting texts together takes little beside them, and what an operator drops goes back to the system."""
+    r, n = bpe.Ragged(np.uint8), 200_000
+    r.append(np.arange(n), np.arange(20 * n).astype(np.uint8), np.full(n, 20))
+    tracemalloc.start()
+    flat, lengths = r.take(np.arange(n))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(flat, r.flat) and lengths.sum() == 20 * n
+    assert most < 8 * len(flat)
+
+    held = lambda: sum(int(x) for x in re.findall(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))
+    common.claim("one")
+    blocks = [np.ones(12_000) for _ in range(1_000)]  # 96 MB
+    blocks = blocks[::100]  # what stays keeps the allocator from shrinking by itself
+    before = held()
+    common.claim("two")
+    assert before - held() > 48_000 and len(blocks) == 10
+
+
 def test_bpe_query(spark):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
     want = []
